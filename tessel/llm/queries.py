@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, recompress, suffix_dedup
+from . import decontaminate, ngram_join, recompress, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = recompress.removed_words(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -24,8 +29,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+#: In the order of their numbers.
+OPERATORS = (op1_fm_decontaminate, op2_recompression_dedup, op9_ngram_jaccard_join, op10_suffix_array_dedup)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_recompression_dedup, op10_suffix_array_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
