@@ -1,15 +1,24 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
+import importlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, recompress, suffix_dedup
+from . import decontaminate, ngram_join, piece_bpe, recompress, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file: in $TOKENIZER_DIR, or where the installed package of public tokenizers has it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return os.path.join(folder, name) if folder else importlib.import_module("public_tokenizers").path(name)
+
+
 def op1_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -25,12 +34,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
 #: In the order of their numbers.
-OPERATORS = (op1_fm_decontaminate, op2_recompression_dedup, op9_ngram_jaccard_join, op10_suffix_array_dedup)
+OPERATORS = (op1_fm_decontaminate, op2_recompression_dedup, op5_sentencepiece_prefix_table, op9_ngram_jaccard_join, op10_suffix_array_dedup)
 
 
 def queries() -> dict:
