@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, piece_bpe, recompress, suffix_dedup
+from . import decontaminate, edit_counts, maxscore, ngram_join, piece_bpe, quality, recompress, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,17 +34,40 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(rows, rows.where("vec_id % 100 = 0")).withColumnRenamed("id", "vec_id")
+
+
+def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits in every document: a deletion at a quarter, an insertion in the middle, a replacement at three quarters."""
+    pattern = importlib.import_module("public_tokenizers").PATTERN
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    at = lambda k: F.floor(n * k / 4)
+    edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("replacement"))
+    docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(edit(at(1), at(1) + 5, ""), edit(at(2), at(2), " edited"), edit(at(3), at(3) + 1, "\n")))
+    rows = edit_counts.counted(docs, tokenizer_file("byte_bpe_50k.tiktoken"), pattern)
+    return rows.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_pieces", "n_encoded")
+
+
 def op5_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = piece_bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = quality.scored(docs, quality.allowed(labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
 #: In the order of their numbers.
-OPERATORS = (op1_fm_decontaminate, op2_recompression_dedup, op5_sentencepiece_prefix_table, op9_ngram_jaccard_join, op10_suffix_array_dedup)
+OPERATORS = (op1_fm_decontaminate, op2_recompression_dedup, op3_maxscore_top_k, op4_edit_token_counts, op5_sentencepiece_prefix_table, op8_quality_trees, op9_ngram_jaccard_join, op10_suffix_array_dedup)
 
 
 def queries() -> dict:
