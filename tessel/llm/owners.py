@@ -19,8 +19,11 @@ ASK = "block int, owner int, keys binary, more binary, ranks binary"
 ANSWER = "block int, owner int, bits binary"
 
 
-def partitions(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def sizes(spark) -> tuple[int, int]:
+    """How many blocks and owners: as the session's shuffle partitions, which grow with the data. A block should hold some
+    MB of text; an owner takes the keys of many blocks, so that messages stay few and long."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return 2 * n, max(1, n // 4)
 
 
 def blocks_of(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -136,8 +136,8 @@ class Block:
 
 def removed_words(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: documents without the words of windows that start in one with a smaller doc_id."""
-    n_owners = 2 * own.partitions(docs.sparkSession)
-    blocks = own.blocks_of(docs, n_owners)
+    n_blocks, n_owners = own.sizes(docs.sparkSession)
+    blocks = own.blocks_of(docs, n_blocks)
 
     def first_ask(block: int, t: pa.Table, _: list) -> pa.Table:
         return own.ask(block, n_owners, np.unique(Block(t, window).anchors()[0]))

@@ -265,8 +265,8 @@ def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
 
     spans: the maximal removed runs as start and end byte.
     """
-    n_owners = 2 * own.partitions(docs.sparkSession)
-    blocks = own.blocks_of(docs, n_owners)
+    n_blocks, n_owners = own.sizes(docs.sparkSession)
+    blocks = own.blocks_of(docs, n_blocks)
 
     def first_ask(block: int, t: pa.Table, _: list) -> pa.Table:
         return own.ask(block, n_owners, np.unique(Block(t, length).anchor))

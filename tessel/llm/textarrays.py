@@ -98,8 +98,15 @@ def word_bounds(data: np.ndarray, rows: np.ndarray, space: np.ndarray = SPACE) -
 
 
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each word, by its bytes alone."""
-    return mix(span_hash(byte_sums(data), starts, ends) + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
+    """A 64-bit name for each word, by its bytes alone. Works through the bytes in pieces of whole words."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 1_000_000, side="right")))
+        a, b = starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        out[lo:hi] = span_hash(byte_sums(data[starts[lo] : ends[hi - 1]]), a, b) + (b - a).astype(np.uint64) * U64(0xA24BAED4963EE407)
+        lo = hi
+    return mix(out)
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
