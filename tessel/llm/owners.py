@@ -26,10 +26,11 @@ def sizes(spark) -> tuple[int, int]:
     return 2 * n, max(1, n // 4)
 
 
-def blocks_of(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text); rows of one doc_id share a block, rows without one share block 0."""
-    block = F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n)).cast("int"), F.lit(0))
-    return docs.select(F.when(F.col(key).isNull(), F.lit(0)).otherwise(block).alias("block"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def blocks_of(docs: DataFrame, n: int, *keep: str) -> DataFrame:
+    """(block, doc_id, text, keep); rows of one doc_id share a block, rows without one are dealt by their text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    block = F.pmod(F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)), F.lit(n)).cast("int")
+    return docs.select(block.alias("block"), doc_id.alias("doc_id"), text.alias("text"), *keep)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -55,7 +56,7 @@ def cuts(keys: np.ndarray, owners: int) -> np.ndarray:
 
 
 def ask(block: int, owners: int, keys: np.ndarray, more: np.ndarray | None = None, ranks: np.ndarray | None = None) -> pa.Table:
-    """keys: sorted. more: 32 further bits of each key. ranks: of each key's first holder in this block."""
+    """keys: sorted. more: further bits of each key, 32 or 64. ranks: of each key's first holder in this block."""
     at = cuts(keys, owners)
     own = [i for i in range(owners) if at[i + 1] > at[i]]
     part = lambda x, f: [None if x is None else f(x[at[i] : at[i + 1]]) for i in own]
@@ -100,13 +101,40 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("owner").applyInArrow(answer, ANSWER)
 
 
-def told(keys: np.ndarray, owners: int, answered: pa.Table) -> np.ndarray:
-    """The bits for a block's sorted keys, as ask() sent them."""
-    at, out = cuts(keys, owners), np.zeros(len(keys), dtype=bool)
+def kinds(asked: DataFrame) -> DataFrame:
+    """For each pair of a key and 64 more bits, two runs of bits: whether another block has the pair with a smaller rank, and
+    whether the key occurs with other further bits too."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        blobs = t.column("keys").to_pylist()
+        at = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])])
+        keys = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+        more = np.frombuffer(b"".join(t.column("more").to_pylist()), dtype=np.uint64)
+        ranks = np.concatenate([unpack(b) for b in t.column("ranks").to_pylist()])
+        order = np.lexsort((more, keys))
+        k, m, r = keys[order], more[order], ranks[order]
+        key_head = np.concatenate([[True], k[1:] != k[:-1]])
+        head = key_head.copy()
+        head[1:] |= m[1:] != m[:-1]
+        pair, key = np.cumsum(head) - 1, np.cumsum(key_head) - 1
+        earlier, mixed = np.empty(len(keys), dtype=bool), np.empty(len(keys), dtype=bool)
+        earlier[order] = r > np.minimum.reduceat(r, np.flatnonzero(head))[pair]
+        mixed[order] = (np.bincount(key[head]) > 1)[key]
+        bits = [np.packbits(earlier[i:j]).tobytes() + np.packbits(mixed[i:j]).tobytes() for i, j in zip(at, at[1:], strict=False)]
+        return pa.table({"block": t.column("block"), "owner": t.column("owner"), "bits": pa.array(bits, pa.binary())})
+
+    return asked.groupBy("owner").applyInArrow(answer, ANSWER)
+
+
+def told(keys: np.ndarray, owners: int, answered: pa.Table, runs: int = 1) -> np.ndarray:
+    """The bits for a block's sorted keys, as it asked about them; a row for each run of bits if there are several."""
+    at, out = cuts(keys, owners), np.zeros((runs, len(keys)), dtype=bool)
     for owner, bits in zip(answered.column("owner").to_pylist(), answered.column("bits").to_pylist(), strict=True):
         n = at[owner + 1] - at[owner]
-        out[at[owner] : at[owner + 1]] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n).astype(bool)
-    return out
+        every = np.frombuffer(bits, dtype=np.uint8).reshape(runs, -1)
+        for k in range(runs):
+            out[k, at[owner] : at[owner + 1]] = np.unpackbits(every[k], count=n).astype(bool)
+    return out if runs > 1 else out[0]
 
 
 def only(table: pa.Table, step: int) -> pa.Table:

@@ -7,10 +7,11 @@ are induced by one scan over the buckets of first bytes. Common prefixes of neig
 To keep the arrays small and the exchange within a few bytes for each input byte, Spark runs over blocks of whole
 documents (see owners.py) and asks three global questions:
 
-1. Every string of `length` bytes has a least 32-byte substring by hash, its anchor. Which anchors occur once only?
+1. Every string of `length` bytes has a least GRAM-byte substring by hash, its anchor. Which anchors occur once only?
    Strings around those can't repeat and need no sorting.
 2. Consecutive strings with one anchor make a stretch. Which stretches occur earlier as a whole? All their strings are
-   repeats. The first of a kind is always kept for the next question, so nothing is lost.
+   repeats. And which anchors stand in stretches of one kind only? Their strings repeat as whole stretches or not at all.
+   The first of a kind is always kept for the next question where its anchor has several, so nothing is lost.
 3. The strings of the stretches left are sorted in a suffix array for each block; which of its distinct strings occurs
    in an earlier document of another block?
 
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import owners as own
-from .textarrays import U64, byte_sums, covered, flat, mix, prefix_sums, runs, span_hash
+from .textarrays import INVERSE, U64, byte_sums, covered, flat, mix, powers, prefix_sums, runs, span_hash
 
-GRAM = 32
+GRAM = 48
+PLACE = U64((1 << 30) - 1)
 SECOND_BASE = 0xC2B2AE3D27D4EB4F
 OTHER_VALUES = np.random.Generator(np.random.PCG64(52)).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -145,6 +147,48 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
+def pieces(rows: np.ndarray, most: int = 300_000) -> list[tuple[int, int, int, int]]:
+    """Runs of whole documents of about `most` bytes, so that work on them stays in the cache: first and end row, first and end byte."""
+    out, i, n = [], 0, len(rows) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(rows, rows[i] + most, side="right")) - 1)
+        if rows[j] > rows[i]:
+            out.append((i, j, int(rows[i]), int(rows[j])))
+        i = j
+    return out
+
+
+def stretches_of(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """First and end start of each run of strings with one anchor, the anchor's place and its hash.
+
+    Grams are compared by the upper 34 bits of their hash, the leftmost of equal ones first: a choice by content alone.
+    """
+    gram = min(GRAM, length)
+    z = np.zeros(0, np.int64)
+    long = np.diff(rows) >= length
+    if len(data) < length or not long.any():
+        return z, z, z, np.zeros(0, np.uint64)
+    sums = byte_sums(data)
+    grams = (sums[gram:] - sums[:-gram]) * powers(len(data), INVERSE)[: len(data) - gram + 1]
+    packed = grams * U64(0xD6E8FEB86659FD93)
+    packed &= ~PLACE
+    packed |= np.arange(len(packed), dtype=np.uint64)
+    place = (sliding_least(packed, length - gram + 1) & PLACE).astype(np.int64)
+    valid = np.zeros(len(place), dtype=bool)
+    for i, j in zip(*runs(long), strict=True):  # rows i..j-1 are long enough
+        valid[rows[i] : rows[j]] = True
+    ends = rows[1:][long]
+    back = (ends[:, None] - np.arange(1, length)[None, :]).ravel()
+    valid[back[back < len(valid)]] = False
+    head = valid.copy()
+    head[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
+    tail = valid.copy()
+    tail[:-1] &= ~valid[1:] | head[1:]
+    start = np.flatnonzero(head)
+    place = place[start]
+    return start, np.flatnonzero(tail) + 1, place, mix(grams[place])
+
+
 class Block:
     """One block's documents as bytes, its stretches and their anchors."""
 
@@ -152,31 +196,12 @@ class Block:
         self.table, self.rank = own.sorted_rows(t)
         self.data, self.rows = flat(self.table.column("text"))
         self.n, self.length = len(self.data), length
-        self.gram = min(GRAM, length)
-        self.sums = byte_sums(self.data)
-        z = np.zeros(0, np.int64)
-        self.start, self.end, self.anchor = z, z, np.zeros(0, np.uint64)
-        if self.n < length:
-            return
-        at = np.arange(self.n - self.gram + 1)
-        grams = span_hash(self.sums, at, at + self.gram)
-        bits = U64(max(1, self.n.bit_length()))
-        least = sliding_least(((grams >> bits) << bits) | at.astype(np.uint64), length - self.gram + 1)  # the leftmost of equal ones
-        place = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
-        del least, at
-        valid = np.zeros(len(place), dtype=bool)
-        for i, j in zip(*runs(np.diff(self.rows) >= length), strict=True):  # rows i..j-1 are long enough
-            valid[self.rows[i] : self.rows[j]] = True
-        ends = self.rows[1:][np.diff(self.rows) >= length]
-        back = (ends[:, None] - np.arange(1, length)[None, :]).ravel()
-        valid[back[back < len(valid)]] = False
-        head = valid.copy()
-        head[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
-        tail = valid.copy()
-        tail[:-1] &= ~valid[1:] | head[1:]
-        self.start, self.end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        self.place = place[self.start]
-        self.anchor = grams[self.place]
+        self.pieces = pieces(self.rows)
+        found = [stretches_of(self.data[lo:hi], self.rows[i : j + 1] - lo, length) for i, j, lo, hi in self.pieces]
+        offset = [lo for _, _, lo, _ in self.pieces]
+        join = lambda k: np.concatenate([f[k] + o for f, o in zip(found, offset, strict=True)]) if found else np.zeros(0, np.int64)
+        self.start, self.end, self.place = join(0), join(1), join(2)
+        self.anchor = np.concatenate([f[3] for f in found]) if found else np.zeros(0, np.uint64)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.rows, at, side="right") - 1
@@ -192,37 +217,42 @@ class Block:
         return np.flatnonzero(((low < high) | own.told(keys, n_owners, answered))[inverse])
 
     def names(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit names of spans of bytes."""
-        if not hasattr(self, "sums2"):
-            self.sums2 = prefix_sums(OTHER_VALUES[self.data], SECOND_BASE)
-        salt = (end - start).astype(np.uint64) * U64(0xA24BAED4963EE407)
-        return mix(span_hash(self.sums, start, end) + salt), (span_hash(self.sums2, start, end, SECOND_BASE) + salt).astype(np.uint32)
-
-    def first_of_each(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct spans by name (64 bits, 32 bits, rank of the first), the first one's number, and each span's place among them. start ascends."""
-        x, y = self.names(start, end)
-        order = np.argsort(x, kind="stable")
-        a, b = x[order], y[order]
-        if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
-            order = np.lexsort((start, y, x))
-            a, b = x[order], y[order]
+        """96-bit names of spans of bytes, each within a document."""
+        x, y = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.uint32)
+        order = np.argsort(start, kind="stable")
+        cuts = np.searchsorted(start[order], [lo for _, _, lo, _ in self.pieces] + [self.n + 1])
+        for k, (_, _, lo, hi) in enumerate(self.pieces):
+            own_spans = order[cuts[k] : cuts[k + 1]]
+            if len(own_spans):
+                s, e = start[own_spans] - lo, end[own_spans] - lo
+                salt = (e - s).astype(np.uint64) * U64(0xA24BAED4963EE407)
+                x[own_spans] = mix(span_hash(byte_sums(self.data[lo:hi]), s, e) + salt)
+                y[own_spans] = (span_hash(prefix_sums(OTHER_VALUES[self.data[lo:hi]], SECOND_BASE), s, e, SECOND_BASE) + salt).astype(np.uint32)
+        return x, y
+
+    def kinds(self, answered: pa.Table, n_owners: int) -> tuple[np.ndarray, ...]:
+        """The stretches with shared anchors, their distinct pairs of anchor and name (sorted), the rank and number of each pair's first, and each stretch's pair."""
+        some = self.shared(answered, n_owners)
+        anchor, name = self.anchor[some], self.names(self.start[some], self.end[some] + self.length - 1)[0]
+        order = np.lexsort((name, anchor))
+        a, b = anchor[order], name[order]
         head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        place = np.empty(len(start), dtype=np.int64)
+        place = np.empty(len(some), dtype=np.int64)
         place[order] = np.cumsum(head) - 1
         first = order[head]
-        return a[head], b[head], self.rank[self.doc(start[first])], first, place
+        return some, a[head], b[head], self.rank[self.doc(self.start[some[first]])], first, place
 
     def stretches(self, answered: list[pa.Table], n_owners: int) -> tuple[np.ndarray, np.ndarray]:
         """After two answers: stretches that occur earlier as a whole, and those that the suffix array has to look at."""
-        some = self.shared(answered[0], n_owners)
-        start, end = self.start[some], self.end[some]
-        x, y, rank, first, place = self.first_of_each(start, end + self.length - 1)
-        earlier = own.told(x, n_owners, answered[1])
-        gone = earlier[place] if len(place) else np.zeros(0, bool)
+        some, anchor, _, _, first, place = self.kinds(answered[0], n_owners)
+        if not len(some):
+            return some, some
+        earlier, mixed = own.told(anchor, n_owners, answered[1], 2)
+        gone = earlier[place]
         later = np.ones(len(some), dtype=bool)
         later[first] = False
         gone |= later
-        return some[gone], some[~gone]
+        return some[gone], some[~gone & mixed[place]]
 
     def groups(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start of each string in these stretches, and the number of its group of equals, by a suffix array over their bytes."""
@@ -260,50 +290,78 @@ class Block:
         return x[order], y[order], self.rank[self.doc(first[order])], at, place[group], at == first[group]
 
 
-def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, spans, n_removed, kept (binary): documents without the bytes of strings that start earlier too.
-
-    spans: the maximal removed runs as start and end byte.
-    """
+def questions(docs: DataFrame, length: int, *keep: str) -> tuple[DataFrame, list[DataFrame], int]:
+    """The blocks, the answers to all three questions, and the number of owners."""
     n_blocks, n_owners = own.sizes(docs.sparkSession)
-    blocks = own.blocks_of(docs, n_blocks)
+    blocks = own.blocks_of(docs, n_blocks, *keep)
 
     def first_ask(block: int, t: pa.Table, _: list) -> pa.Table:
         return own.ask(block, n_owners, np.unique(Block(t, length).anchor))
 
     def second_ask(block: int, t: pa.Table, answered: list) -> pa.Table:
-        b = Block(t, length)
-        some = b.shared(answered[0], n_owners)
-        x, y, rank, _, _ = b.first_of_each(b.start[some], b.end[some] + length - 1)
-        return own.ask(block, n_owners, x, y, rank)
+        _, anchor, name, rank, _, _ = Block(t, length).kinds(answered[0], n_owners)
+        return own.ask(block, n_owners, anchor, name, rank)
 
     def third_ask(block: int, t: pa.Table, answered: list) -> pa.Table:
         b = Block(t, length)
         x, y, rank, *_ = b.strings(b.stretches(answered, n_owners)[1])
         return own.ask(block, n_owners, x, y, rank)
 
+    first = own.answers(own.with_answers(blocks, [], first_ask, own.ASK))
+    second = own.kinds(own.with_answers(blocks, [first], second_ask, own.ASK))
+    third = own.answers(own.with_answers(blocks, [first, second], third_ask, own.ASK))
+    return blocks, [first, second, third], n_owners
+
+
+def repeats(b: Block, answered: list[pa.Table], n_owners: int) -> np.ndarray:
+    """After all answers: which bytes of a block stand in strings that start earlier too."""
+    whole, left = b.stretches(answered, n_owners)
+    x, _, _, at, place, first = b.strings(left)
+    hit = own.told(x, n_owners, answered[2])[place] | ~first if len(at) else np.zeros(0, bool)
+    steps = np.zeros(b.n + 1, dtype=np.int32)
+    np.add.at(steps, b.start[whole], 1)
+    np.add.at(steps, b.end[whole] + b.length - 1, -1)
+    return covered(at[hit], b.length, b.n) | (np.cumsum(steps[:-1]) > 0)
+
+
+def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans, kept (binary): documents without the bytes of strings that start earlier too.
+
+    spans: the maximal removed runs as start and end byte.
+    """
+    blocks, answered, n_owners = questions(docs, length)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def remove(block: int, t: pa.Table, answered: list) -> pa.Table:
         b = Block(t, length)
-        whole, left = b.stretches(answered, n_owners)
-        x, _, _, at, place, first = b.strings(left)
-        hit = own.told(x, n_owners, answered[2])[place] | ~first if len(at) else np.zeros(0, bool)
-        steps = np.zeros(b.n + 1, dtype=np.int32)
-        np.add.at(steps, b.start[whole], 1)
-        np.add.at(steps, b.end[whole] + length - 1, -1)
-        gone = covered(at[hit], length, b.n) | (np.cumsum(steps[:-1]) > 0)
+        gone = repeats(b, answered, n_owners)
         spans, kept, removed = [], [], []
-        for i in range(len(b.rows) - 1):
-            lo, hi = b.rows[i], b.rows[i + 1]
-            flags = gone[lo:hi]
+        for lo, hi in zip(b.rows, b.rows[1:], strict=False):
+            flags, text = gone[lo:hi], b.data[lo:hi]
             n = int(flags.sum())
             removed.append(n)
-            text = b.data[lo:hi]
             kept.append((text[~flags] if n else text).tobytes())
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(*runs(flags), strict=True)] if n else [])
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"doc_id": b.table.column("doc_id"), "n_bytes": pa.array(np.diff(b.rows), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
-    first = own.answers(own.with_answers(blocks, [], first_ask, own.ASK))
-    second = own.answers(own.with_answers(blocks, [first], second_ask, own.ASK))
-    third = own.answers(own.with_answers(blocks, [first, second], third_ask, own.ASK))
-    return own.with_answers(blocks, [first, second, third], remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return own.with_answers(blocks, answered, remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def shortened(docs: DataFrame, length: int = 100, keep: str = "other") -> DataFrame:
+    """doc_id, text and a column to keep: documents without repeats; a character that loses a byte goes as a whole. A null text becomes empty."""
+    blocks, answered, n_owners = questions(docs, length, keep)
+    kind = blocks.schema[keep].dataType.simpleString()
+
+    def shorten(block: int, t: pa.Table, answered: list) -> pa.Table:
+        b = Block(t, length)
+        gone = repeats(b, answered, n_owners)
+        texts = []
+        for lo, hi in zip(b.rows, b.rows[1:], strict=False):
+            flags, text = gone[lo:hi], b.data[lo:hi]
+            if flags.any():
+                character = np.cumsum((text & 0xC0) != 0x80) - 1
+                text = text[(np.bincount(character, weights=flags) == 0)[character]]
+            texts.append(text.tobytes().decode())
+        return pa.table({"doc_id": b.table.column("doc_id"), "text": pa.array(texts, pa.string()), keep: b.table.column(keep)})
+
+    return own.with_answers(blocks, answered, shorten, f"doc_id long, text string, `{keep}` {kind}")
