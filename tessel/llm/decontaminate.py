@@ -5,13 +5,13 @@ one separator, which no phrase holds. The shard's FM-index is the Burrows-Wheele
 matrix, with the suffix positions sampled. The benchmark's windows are searched backwards through its ranks, all windows
 of a step at once; found rows are walked to a sampled position; the positions' spans are merged for each document.
 
-The benchmark is the stated query set. It goes to the executors in parts of `part_bytes` of text at the most, one pass
-over the documents for each part, so its broadcast has a bound; passes are merged by doc_id.
+The benchmark is the stated query set. It goes to the executors in parts of about `part_bytes` of text, one pass over the
+documents for each part, so its broadcast has a bound; each pass adds to what the rows carry from the pass before.
 
 Defined cases: a null or blank text has no words and is clean; an item without words has no windows; an item of fewer
 words than a window is one window of all its words; repeated items each count by their item_id, and items of one id
-count once; a null item_id counts as the string null; rows that share a doc_id come back as they are (merged only if the
-benchmark needs several parts); columns beyond id and text aren't read; empty tables give no rows, or no hits.
+count once; a null item_id counts as the string null; rows that share a doc_id are judged each for itself; columns beyond id,
+text and those to keep aren't read; empty tables give no rows, or no hits.
 """
 
 import numpy as np
@@ -182,39 +182,51 @@ def shard_hits(texts: list[str | None], phrases: Phrases) -> tuple[list[int], li
     return sizes, spans, [[phrases.items[k] for k in sorted(set(x))] for x in items]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, n_words, spans (start and end word of the merged hits), items (ids as sorted strings) for each document."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = 16_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, spans (start and end word of the merged hits), items (ids as sorted strings) and the columns of keep for each document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    schema = "doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
-
-    def one_pass(part: int) -> DataFrame:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    found_types = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+    keep = tuple(c for c in keep if c not in ("doc_id", "text", "n_words", "spans", "items"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def one_pass(rows: DataFrame, part: int) -> DataFrame:
+        """Adds what this part of the benchmark finds to what the parts before it have found."""
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator()])
 
         def run(batches):
             phrases = Phrases(shared.value, window)
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             for b in slices(batches):
                 n, spans, found = shard_hits(b.column("text").to_pylist(), phrases)
+                if part:
+                    before = [[(s["start"], s["end"]) for s in x] for x in b.column("spans").to_pylist()]
+                    spans = [merged(x + y) for x, y in zip(before, spans, strict=True)]
+                    found = [sorted({*x, *y}) for x, y in zip(b.column("items").to_pylist(), found, strict=True)]
                 spans = [[{"start": s, "end": e} for s, e in x] for x in spans]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
-
-        return docs.mapInArrow(run, schema)
-
-    if parts == 1:
-        return one_pass(0)
-    every = one_pass(0)
-    for part in range(1, parts):
-        every = every.unionByName(one_pass(part))
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("spans", F.expr(
-        "aggregate(spans, cast(array() as array<struct<start: int, end: int>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).end >= s.start,"
-        " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(s))))"
-    ))
+                names = ["doc_id", "text", *keep]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
+
+        return rows.mapInArrow(run, f"{carried}, {found_types}")
+
+    for part in range(parts):
+        rows = one_pass(rows, part)
+    return rows
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap become one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def judged(found: DataFrame) -> DataFrame:

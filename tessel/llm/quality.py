@@ -171,13 +171,11 @@ def allowed(labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the columns of keep for each document. labels: (doc_id, quality), all of them free to learn from."""
+    """doc_id, the columns of keep and score for each document. labels: (doc_id, quality), all of them free to learn from."""
     trees = train(*sample_statistics(docs, labels, max_train))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))
-    names = [c for c in keep if c not in ("doc_id", "text")]
-    with_text = "text" in keep
+    columns = ["doc_id", *(c for c in keep if c not in ("doc_id", "score"))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in columns if c not in ("doc_id", "text")))
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    columns = ["doc_id", *(["text"] if with_text else []), *names]
 
     def run(batches):
         for b in slices(batches):
