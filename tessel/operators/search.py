@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import InvalidRecord, UnsupportedMetric
 from ..functions import vectors as V
@@ -70,6 +71,7 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", k
     parts = max(1, -(-size // part_bytes))
     rows = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), V.doubles(F.col(vector)).alias("v"))
     q_type, k_type = asked.schema["q"].dataType, rows.schema["k"].dataType
+    q_arrow, k_arrow = to_arrow_type(q_type), to_arrow_type(k_type)
 
     def one_pass(part: int) -> DataFrame:
         own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
@@ -96,7 +98,7 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", k
             flat = [(names[i], key, sign * d) for i, t in enumerate(top) for d, key in t]
             if flat:
                 a, b, c = zip(*flat, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], ["q", "k", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, q_arrow), pa.array(b, k_arrow), pa.array(c, pa.float64())], ["q", "k", "distance"])
 
         return rows.mapInArrow(best, f"q {q_type.simpleString()}, k {k_type.simpleString()}, distance double")
 

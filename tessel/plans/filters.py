@@ -76,9 +76,13 @@ class Dynamic:
     """A field of a VARIANT object."""
 
     def __init__(self, metadata: Column, name: str):
-        path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        self.value = F.try_variant_get(metadata, path, "variant")
-        self.listed = F.try_variant_get(metadata, path, "array<variant>")
+        # Paths have no escapes: a name with both kinds of quotes is looked up in a map of the whole object.
+        quote = "'" if "'" not in name else '"'
+        if quote in name:
+            self.value = F.try_element_at(F.try_variant_get(metadata, "$", "map<string,variant>"), F.lit(name))
+        else:
+            self.value = F.try_variant_get(metadata, f"$[{quote}{name}{quote}]", "variant")
+        self.listed = F.try_variant_get(self.value, "$", "array<variant>")
 
     def test(self, value_test) -> Column:
         values = F.when(F.schema_of_variant(self.value).startswith("ARRAY"), self.listed).otherwise(F.array(self.value))
