@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lineage import slices
 from .textarrays import FOLD, runs
@@ -189,10 +190,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: in
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    found_types = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
     keep = tuple(c for c in keep if c not in ("doc_id", "text", "n_words", "spans", "items"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    span_type = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    found = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span_type)), T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*rows.schema.fields, *found])
 
     def one_pass(rows: DataFrame, part: int) -> DataFrame:
         """Adds what this part of the benchmark finds to what the parts before it have found."""
@@ -211,7 +213,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: in
                 names = ["doc_id", "text", *keep]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
 
-        return rows.mapInArrow(run, f"{carried}, {found_types}")
+        return rows.mapInArrow(run, schema)
 
     for part in range(parts):
         rows = one_pass(rows, part)

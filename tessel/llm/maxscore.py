@@ -4,7 +4,7 @@ A vector is a document whose terms are its dimensions; a term's weight is floor(
 q * w, which may be negative, so a shard keeps each term's least and largest weight: contributions are counted from the
 least possible one, and the spread between the two is the term's score bound.
 
-For each query a shard orders the terms by bound. The terms of the largest bounds are essential: their postings are
+For each query a shard orders the terms by bound. The half of the largest bounds is essential: its postings are
 traversed for all vectors of the shard. Then, while any vector's partial score plus the bounds that are left can reach
 the k-th best score known, the non-essential terms are probed for such vectors only. The first threshold is the k-th best
 of a few full scores: a shard's vectors with the best partial scores.
@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ESSENTIAL = 0.5
-
 
 def shard_top(ids: np.ndarray, weights: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's number, id, score) of each query's k best vectors of a shard. weights: one row for each dimension (its postings)."""
@@ -39,7 +37,7 @@ def shard_top(ids: np.ndarray, weights: np.ndarray, query_ids: np.ndarray, queri
         terms = np.argsort(-bound, kind="stable")
         terms = terms[bound[terms] > 0]
         rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])
-        split = max(1, int(len(terms) * ESSENTIAL))
+        split = -(-len(terms) // 2)  # none where all contributions are constant
         alive = np.flatnonzero(ids != own)
         if not len(alive):
             continue

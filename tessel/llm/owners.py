@@ -142,7 +142,7 @@ def only(table: pa.Table, step: int) -> pa.Table:
     return table.filter(pc.equal(table.column("step"), step)) if table.num_rows else table
 
 
-def with_answers(blocks: DataFrame, answered: list[DataFrame], f: Callable[[int, pa.Table, list[pa.Table]], pa.Table], schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, answered: list[DataFrame], f: Callable[[int, pa.Table, list[pa.Table]], pa.Table], schema) -> DataFrame:
     """f(block, its documents, its answers to each question) for each block with documents. answered: may be empty."""
     if not answered:
         return blocks.groupBy("block").applyInArrow(lambda t: f(t.column("block")[0].as_py(), t, []), schema)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lineage import slices
 from .textarrays import flat, word_bounds, word_names
@@ -175,11 +176,11 @@ def scored(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, keep: tu
     trees = train(*sample_statistics(docs, labels, max_train))
     columns = ["doc_id", *(c for c in keep if c not in ("doc_id", "score"))]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in columns if c not in ("doc_id", "text")))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for b in slices(batches):
             score = trees.scores(statistics(b.column("text")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(score, pa.float64())], [*columns, "score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", score double")
+    return docs.mapInArrow(run, schema)

@@ -23,6 +23,7 @@ and text aren't read; an empty table gives an empty result.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import owners as own
 from .textarrays import INVERSE, U64, byte_sums, covered, flat, mix, powers, prefix_sums, runs, span_hash
@@ -85,7 +86,9 @@ def sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes in the order of their first `depth` bytes, ties by position or by the order of their successors."""
+    """All suffixes in the order of their first `depth` bytes, ties by position or by the order of their successors.
+
+    Zeros count as following the end, so a suffix that reaches it may stand beside one that goes on with zeros."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -125,13 +128,14 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 def equal_neighbours(sa: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
     """For each place but the first: whether the common prefix with the place before has `length` bytes."""
-    same = np.ones(max(0, len(sa) - 1), dtype=bool)
-    live = np.arange(len(same))
     n = len(words)
+    whole = sa + length <= n
+    same = whole[1:] & whole[:-1]
+    live = np.flatnonzero(same)
     for done in range(0, length, 8):
         a, b = sa[live] + done, sa[live + 1] + done
         keep = U64((1 << 64) - 1) if done + 8 <= length else U64(((1 << 64) - 1) ^ ((1 << 8 * (8 - (length - done))) - 1))
-        eq = (a < n) & (b < n) & (((words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]) & keep) == 0)
+        eq = ((words[a] ^ words[b]) & keep) == 0
         same[live[~eq]] = False
         live = live[eq]
     return same
@@ -350,7 +354,7 @@ def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
 def shortened(docs: DataFrame, length: int = 100, keep: str = "other") -> DataFrame:
     """doc_id, text and a column to keep: documents without repeats; a character that loses a byte goes as a whole. A null text becomes empty."""
     blocks, answered, n_owners = questions(docs, length, keep)
-    kind = blocks.schema[keep].dataType.simpleString()
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), blocks.schema[keep]])
 
     def shorten(block: int, t: pa.Table, answered: list) -> pa.Table:
         b = Block(t, length)
@@ -364,4 +368,4 @@ def shortened(docs: DataFrame, length: int = 100, keep: str = "other") -> DataFr
             texts.append(text.tobytes().decode())
         return pa.table({"doc_id": b.table.column("doc_id"), "text": pa.array(texts, pa.string()), keep: b.table.column(keep)})
 
-    return own.with_answers(blocks, answered, shorten, f"doc_id long, text string, `{keep}` {kind}")
+    return own.with_answers(blocks, answered, shorten, schema)
