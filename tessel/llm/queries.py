@@ -143,6 +143,25 @@ ORACLES = {
         SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(n)::BIGINT AS formatted_chars FROM e GROUP BY 1""",
+    "op9_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({FOLDED}, '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
+        c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS first, count(*) OVER (PARTITION BY w) AS n FROM d WHERE len(w) > 0),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+        size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        link AS MATERIALIZED (SELECT a, b FROM (SELECT g.doc_id AS a, o.doc_id AS b, count(*) AS n FROM g JOIN g o USING (x) WHERE g.doc_id <> o.doc_id GROUP BY 1, 2) p JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 5 * p.n >= 4 * (s.n + t.n - p.n)),
+        reach(a, b) AS (SELECT DISTINCT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1), degree AS (SELECT a AS doc_id, count(*) AS n FROM link GROUP BY 1)
+        SELECT d.doc_id, coalesce(c.first, d.doc_id) AS copy_of, coalesce(class_id, d.doc_id) AS class_id, coalesce(c.n, 1)::BIGINT AS n_copies, coalesce(degree.n, 0)::BIGINT AS n_links
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN class USING (doc_id) LEFT JOIN degree USING (doc_id)""",
+    "op10_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        spot AS (SELECT doc_id, k, sha256(substr(h, 2 * k + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS k FROM d)),
+        hits AS (SELECT doc_id, k FROM spot QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, k) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 100)) AS k FROM hits),
+        runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before < k - 1) AS n_spans FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) GROUP BY 1),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * k + 1, 2), '' ORDER BY k) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS k FROM d WHERE doc_id IN (SELECT doc_id FROM runs)) ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+        SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN n IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
 
 
