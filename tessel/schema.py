@@ -42,7 +42,7 @@ class CollectionSchema:
         return digest(f"{self.name}{self.dim}{self.vector_type}".encode(), self.checksum_algorithm)
 
 
-@dataclass
+@dataclass(eq=False)
 class Record:
     """A record, a tombstone, or the answer that there's none."""
 
@@ -77,6 +77,12 @@ class Record:
     def nonexistent(cls, record_id: str) -> "Record":
         return cls(record_id, kind=NONEXISTENT)
 
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Record) and self.row() == other.row()
+
+    def __hash__(self) -> int:
+        return hash((self.record_id, self.checksum))
+
     def computed(self) -> str:
         meta = None if self.metadata is None else {k: sorted(v, key=str) if isinstance(v, set) else v for k, v in self.metadata.items()}
         return digest(record_bytes(self.kind, self.record_id, self.document, self.vector, meta), self.checksum_algorithm)

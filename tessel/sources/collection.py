@@ -10,6 +10,7 @@ committer makes visible as a whole; nothing is ever changed in place. One writer
 checked: a write based on an older lsn is refused if its records changed since.
 """
 
+import threading
 from collections.abc import Iterable
 
 import pandas as pd
@@ -65,6 +66,7 @@ class Collection:
 
         self.logs = Versions(spark, self.base, "log", "log-pointer")
         self.log_path = self.logs.path(self.logs.current()[0])
+        self.lock = threading.RLock()  # writers of this process take turns; readers need no lock
 
     @property
     def log(self) -> DataFrame:
@@ -106,6 +108,10 @@ class Collection:
         if wrong:
             error = DimensionMismatch if wrong[0].problem == "wrong dimension" else InvalidRecord
             raise error(f"{wrong[0].record_id}: {wrong[0].problem}")
+        with self.lock:
+            return self._append(good, base_lsn)
+
+    def _append(self, good: DataFrame, base_lsn: int | None) -> DataFrame:
         last = self.max_lsn()
         if base_lsn is not None and base_lsn < last:
             met = self.log.where(F.col("lsn") > base_lsn).join(good.select("record_id"), "record_id", "left_semi").limit(1).collect()
@@ -164,16 +170,27 @@ class Collection:
 
     def flush(self) -> int:
         """Writes a snapshot of all committed changes; returns its visible lsn."""
-        last = self.max_lsn()
-        self.snapshots.write(self.read(), last)
+        with self.lock:
+            last = self.max_lsn()
+            self.snapshots.write(self.read(), last)
         return last
 
     def compact(self) -> None:
         """Rewrites the log without what the newest snapshot holds. The state a reader sees stays the same."""
+        with self.lock:
+            self._compact()
+
+    def _compact(self) -> None:
         _, visible = self.snapshots.current()
         n = self.logs.write(changelog.compacted(self.log, visible).select(*LOG_TYPE.names), visible)
         self.log_path = self.logs.path(n)
 
+    def checkpoint(self) -> None:
+        """A snapshot, then a compaction where it pays: what closing a collection does."""
+        self.flush()
+        if changelog.compaction_benefit(self.log.where("phase = 'prepare'"), self.snapshots.current()[1]).first().worthwhile:
+            self.compact()
+
     def verify(self) -> DataFrame:
         """Log rows whose checksum isn't that of their content."""
 
@@ -222,5 +239,10 @@ class Store:
         self.versions.write(catalog.dropped(self.catalog, name))
         return schema
 
+    def close(self) -> None:
+        """Checkpoints every collection. Nothing is held open, so a store can be used again afterwards."""
+        for name in self.list_collections():
+            self.collection(name).checkpoint()
+
     def backup(self, path: str) -> None:
         self.catalog.write.parquet(path)

@@ -174,3 +174,28 @@ def test_stream_is_batch(spark, tmp_path):
             spark.createDataFrame(part, schema).write.mode("append").parquet(target)
         fold.start(spark, target, kind, out, files_per_batch=1).awaitTermination()
     assert sorted(fold.state(spark, out, kind).collect()) == sorted(changelog.latest(spark.createDataFrame(rows, schema)).collect())
+
+
+def test_command_line(spark, tmp_path):
+    from tessel.__main__ import command
+
+    store = Store(spark, str(tmp_path))
+    assert command(store, ["create", "c", "2"]) == ["c"] and command(store, ["list"]) == ["c"]
+    assert command(store, ["insert", "c", "a", "[1, 0]", "plain text", '{"n": 1}'])[0]["type"] == NONEXISTENT
+    command(store, ["insert", "c", "b", "0,1", '{"x": 1}'])
+    assert [r["record_id"] for r in command(store, ["search", "c", "1,0", "5", '{"n": 1}'])] == ["a"]
+    assert command(store, ["get", "c", "b"])[0]["original_data"] == {"x": 1}
+    assert command(store, ["delete", "c", "b"])[0]["vector"] == [0, 1]
+    with pytest.raises(InvalidRecord):
+        command(store, ["nope"])
+    store.close()
+    assert store.collection("c").read("visible").count() == 1
+
+
+def test_equality_and_figures(spark):
+    from tessel.operators.metrics import observed
+
+    assert record(1) == record(1) != record(2) and len({record(1), record(1)}) == 1
+    df, seen = observed(spark.range(7), top=F.max("id"))
+    df.collect()
+    assert seen.get == {"rows": 7, "top": 6}
