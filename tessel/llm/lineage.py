@@ -16,7 +16,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches, column: str = "text", most: int = 4_000_000):
+def slices(batches, column: str = "text", most: int = 2_000_000):
     """Arrow batches of whole rows with about `most` bytes of text each at the most; a longer text comes alone."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))

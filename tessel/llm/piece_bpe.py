@@ -6,7 +6,7 @@ pieces that end at a position, and the one that is compatible with the last toke
 compatible if merging their joined text gives just the two). Ids are then recovered backwards. No merge queue is kept.
 
 Pieces of such models hold the space mark in front only, so a text falls apart into stretches that start with space
-marks, encoded alone and remembered for each worker up to `remember` of them. A character without a piece becomes the
+marks, encoded alone and remembered for each worker: the latest `remember` at least, twice as many at most. A character without a piece becomes the
 byte pieces of its UTF-8 form; nothing merges across it.
 
 Defined cases: a null is an empty text; an empty text has no ids; the space mark itself in a text is read as a space, as
@@ -28,7 +28,7 @@ _loaded: dict[str, "Codec"] = {}
 
 
 class Codec:
-    def __init__(self, model: str, remember: int = 400_000):
+    def __init__(self, model: str, remember: int = 100_000):
         lib = sentencepiece.SentencePieceProcessor(model_file=model)
         self.pieces = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) or lib.is_byte(i) for i in range(len(self.pieces))]
@@ -43,8 +43,8 @@ class Codec:
             if self.merged(p) == [i]:  # other pieces never come out
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.remember, self.known = remember, {}
+        self.compatible: dict[int, bool] = {}  # key: first id * 2**20 + second id
+        self.remember, self.known, self.older = remember, {}, {}
 
     def merged(self, text: str) -> list[int]:
         """The definition: join the neighbours whose joined text is the piece of the best score, the leftmost first, until none is left. For short texts."""
@@ -60,9 +60,11 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, a: int, b: int) -> bool:
-        ok = self.compatible.get((a, b))
+        ok = self.compatible.get(a << 20 | b)
         if ok is None:
-            ok = self.compatible[a, b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+            if len(self.compatible) >= 3 * self.remember:
+                self.compatible.clear()
+            ok = self.compatible[a << 20 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         return ok
 
     def stretch(self, text: str) -> list[int]:
@@ -78,7 +80,7 @@ class Codec:
             if before < 0:
                 last[end] = piece
             else:
-                ok = compatible.get((before, piece))
+                ok = compatible.get(before << 20 | piece)
                 if ok or ok is None and self.fits(before, piece):
                     last[end] = piece
         out, at = [], n
@@ -95,30 +97,31 @@ class Codec:
     def decoded(self, ids: list[int]) -> bytes:
         return b"".join([self.value[i] for i in ids])
 
-    def encode(self, text: str) -> list[tuple[int, str, str]]:
-        """For each stretch of the text: how many ids, the ids as text, and the stretch decoded from its ids."""
+    def encode(self, text: str) -> list[tuple[str, str]]:
+        """For each stretch of the text: its ids as text, and the stretch decoded from its ids."""
         if not text:
             return []
         parts = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
-        known = self.known
-        out = list(map(known.get, parts))
+        out = list(map(self.known.get, parts))
         if None in out:
             for k, x in enumerate(out):
                 if x is None:
-                    part = parts[k]
-                    x = known.get(part)
-                    if x is None:
-                        ids = self.stretch(part)
-                        x = (len(ids), ",".join(map(str, ids)), self.decoded(ids).decode(errors="replace"))
-                        if len(part) <= 64:
-                            if len(known) >= self.remember:
-                                known.clear()
-                            if len(self.compatible) >= 4 * self.remember:
-                                self.compatible.clear()
-                            known[part] = x
-                    out[k] = x
+                    out[k] = self.known.get(parts[k]) or self.learnt(parts[k])
         return out
 
+    def learnt(self, part: str) -> tuple[str, str]:
+        """Two generations are remembered: what is asked for again moves to the new one, the rest goes with the old one."""
+        x = self.older.get(part)
+        if x is None:
+            ids = self.stretch(part)
+            x = (",".join(map(str, ids)), self.decoded(ids).decode(errors="replace"))
+            if len(part) > 64:
+                return x
+        if len(self.known) >= self.remember:
+            self.older, self.known = self.known, {}
+        self.known[part] = x
+        return x
+
 
 def codec(model: str) -> Codec:
     """One for each worker process and model."""
@@ -136,9 +139,9 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             n, ids, decoded = [], [], []
             for text in b.column("text").to_pylist():
                 parts = c.encode(text or "")
-                n.append(sum([p[0] for p in parts]))
-                ids.append(",".join([p[1] for p in parts]))
-                decoded.append("".join([p[2] for p in parts])[1:])  # the mark in front is not the text's
+                ids.append(",".join([p[0] for p in parts]))
+                n.append(ids[-1].count(",") + 1 if parts else 0)
+                decoded.append("".join([p[1] for p in parts])[1:])  # the mark in front is not the text's
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import owners as own
-from .textarrays import INVERSE, U64, byte_sums, covered, flat, mix, powers, prefix_sums, runs, span_hash
+from .textarrays import INVERSE, U64, between, byte_sums, covered, flat, mix, powers, prefix_sums, runs, span_hash
 
 GRAM = 48
 PLACE = U64((1 << 30) - 1)
@@ -264,16 +264,10 @@ class Block:
         if not len(left):
             z = np.zeros(0, np.int64)
             return z, z
-        steps = np.zeros(self.n + 1, dtype=np.int32)
-        np.add.at(steps, self.start[left], 1)
-        np.add.at(steps, self.end[left] + length - 1, -1)
-        inside = np.cumsum(steps[:-1]) > 0
+        inside = between(self.start[left], self.end[left] + length - 1, self.n)
         origin = np.flatnonzero(inside)
         data = self.data[inside]
-        wanted = np.zeros(self.n + 1, dtype=np.int32)
-        np.add.at(wanted, self.start[left], 1)
-        np.add.at(wanted, self.end[left], -1)
-        wanted = (np.cumsum(wanted[:-1]) > 0)[inside]
+        wanted = between(self.start[left], self.end[left], self.n)[inside]
         sa = suffix_array(data, length)
         sa = sa[wanted[sa]]
         same = equal_neighbours(sa, packed_words(data), length)
@@ -322,10 +316,7 @@ def repeats(b: Block, answered: list[pa.Table], n_owners: int) -> np.ndarray:
     whole, left = b.stretches(answered, n_owners)
     x, _, _, at, place, first = b.strings(left)
     hit = own.told(x, n_owners, answered[2])[place] | ~first if len(at) else np.zeros(0, bool)
-    steps = np.zeros(b.n + 1, dtype=np.int32)
-    np.add.at(steps, b.start[whole], 1)
-    np.add.at(steps, b.end[whole] + b.length - 1, -1)
-    return covered(at[hit], b.length, b.n) | (np.cumsum(steps[:-1]) > 0)
+    return covered(at[hit], b.length, b.n) | between(b.start[whole], b.end[whole] + b.length - 1, b.n)
 
 
 def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:

@@ -109,12 +109,18 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of n items lie in [s, s + length) for some start."""
+def between(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n items lie in [starts[i], ends[i]) for some i. Counts in place, in 32 bits."""
     steps = np.zeros(n + 1, dtype=np.int32)
     np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + length, -1)
-    return np.cumsum(steps[:-1]) > 0
+    np.add.at(steps, ends, -1)
+    np.cumsum(steps, out=steps)
+    return steps[:-1] > 0
+
+
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n items lie in [s, s + length) for some start."""
+    return between(starts, starts + length, n)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

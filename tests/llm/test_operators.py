@@ -245,7 +245,7 @@ def test_sentencepiece(docs, empty):
     texts = ["", " ", "  ", "▁", "a" * 500, " " * 100 + "x", "</s><s>", "\r\n", "ﬁ ① Ａ", "springframeworkation"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(2000)]
     for text in texts:
         parts, ids = codec.encode(text), lib.encode(text)
-        assert [int(i) for p in parts for i in p[1].split(",")] == ids and "".join(p[2] for p in parts)[1:] == lib.decode(ids)
+        assert [int(i) for p in parts for i in p[0].split(",")] == ids and "".join(p[1] for p in parts)[1:] == lib.decode(ids)
     got = piece_bpe.encoded(docs, model).collect()
     expected = [(i, lib.encode(t or "")) for i, t, *_ in corpus()]
     assert sorted(((r.doc_id, r.n_tokens, r.ids, r.decoded) for r in got), key=str) == sorted(((i, len(x), ",".join(map(str, x)), lib.decode(x)) for i, x in expected), key=str)
