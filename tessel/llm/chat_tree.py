@@ -46,17 +46,18 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     nodes = messages.join(ids, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
     nodes = cut(nodes)
     parents = nodes.where("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    jumps, live = [], nodes
+    jumps, state = [], nodes
     n = nodes.count()
     # A path is no longer than the table; what still has an ancestor after that many doublings is on a cycle.
     while len(jumps) <= max(1, n).bit_length():
-        jumps.append(live.where("up is not null").select("tree", "id", "up"))
-        above = live.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        moved = live.join(above, ["tree", "up"], "left")
-        live = cut(moved.select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0).cast("long"))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")))
-        if live.where("up is not null").isEmpty():
+        climbing = state.where("up is not null")  # what has reached its root is done, and only looked up
+        jumps.append(climbing.select("tree", "id", "up"))
+        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        moved = climbing.join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
+        state = cut(moved.unionByName(state.where("up is null")))
+        if state.where("up is not null").isEmpty():
             break
-    rooted = live.where("up is null")
+    rooted = state.where("up is null")
     leaves = rooted.join(parents, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_tree)
