@@ -408,9 +408,8 @@ def stream_fold(spark, d):
 
 @query()
 def tsne(spark, d):
-    """A map of the first 100 vectors by number; the method is bounded by its all-pairs look at them."""
-    rows = table(spark, d, "embeddings").where("vec_id < 100")
-    return projection.project(rows, 20.0, 42, "vec_id", "embedding", max_points=1000)
+    """A map of all vectors; a table of more than projection.MAX_POINTS is refused, as the method looks at all pairs."""
+    return projection.project(table(spark, d, "embeddings"), 20.0, 42, "vec_id", "embedding")
 
 
 @query()

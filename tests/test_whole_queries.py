@@ -2,7 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
+
 from tessel import query_pack
+from tessel.errors import ProjectionError
+from tessel.operators import projection
 
 
 def test_conflicts_of_late_events(spark, tmp_path):
@@ -16,3 +21,13 @@ def test_conflicts_of_late_events(spark, tmp_path):
         assert any(v >= 3000 and w >= 3000 for v, w, _ in expected)
         got = query_pack.queries()[name](spark, str(tmp_path)).collect()
         assert len(got) == len(expected) and {(r.version, r.other, r.record_id) for r in got} == expected
+
+
+def test_tsne_maps_all_vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(90 + i, rng.normal(size=4).tolist()) for i in range(40)], "vec_id long, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.vec_id for r in query_pack.queries()["tsne"](spark, str(tmp_path)).collect()} == set(range(90, 130))
+    spark.range(projection.MAX_POINTS + 1).selectExpr("id as vec_id", "array(1f, 2f) as embedding").write.mode("overwrite").parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.raises(ProjectionError):
+        query_pack.queries()["tsne"](spark, str(tmp_path))
