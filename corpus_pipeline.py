@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm import decontaminate, ngram_join, piece_bpe, quality, suffix_dedup
 from tessel.llm.queries import table, tokenizer_file
+from tessel.query_pack import scratch
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -70,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages in turn. Each one's rows are written as Parquet and read back, so no later stage runs it again."""
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
