@@ -24,14 +24,14 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return term_rows(docs, key, text).groupBy("term").agg(F.sort_array(F.collect_set(key)).alias("ids"))
 
 
-def field_rows(docs: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
-    """(path, value, key): dotted paths of JSON objects down to `depth`, each element of a list by itself, an object also as a whole.
+def field_rows(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """(path, value, key): dotted paths of JSON objects, each element of a list by itself, an object also as a whole.
 
-    Values are texts as Python writes them: True, False, None, 1.5.
+    Values are texts as Python writes them: True, False, None, 1.5. A job for each level looks whether objects are left.
     """
     level = docs.select(key, F.try_parse_json(F.col(json)).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT")).select(key, F.lit("").alias("path"), "v")
-    out = None
-    for _ in range(depth):
+    out, left = None, True
+    while left:
         below = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("name"), F.col("value").alias("child")))
         below = below.select(key, F.concat("path", "name").alias("path"), F.col("child").alias("v"))
         kind = F.schema_of_variant("v")
@@ -40,6 +40,7 @@ def field_rows(docs: DataFrame, key: str, json: str, depth: int = 8) -> DataFram
         found = found.select("path", python_text(F.col("item")).alias("value"), key)
         out = found if out is None else out.unionByName(found)
         level = below.where(kind.startswith("OBJECT")).select(key, F.concat("path", F.lit(".")).alias("path"), "v")
+        left = not level.isEmpty()
     return out.distinct()
 
 

@@ -229,7 +229,7 @@ def term_postings(spark, d):
 
 @query("SELECT 'k' AS path, props->>'k' AS value, event_id FROM events")
 def field_paths(spark, d):
-    return text.field_rows(table(spark, d, "events"), "event_id", "props", depth=2)
+    return text.field_rows(table(spark, d, "events"), "event_id", "props")
 
 
 # The events table as a change log: event_id is the lsn, user_id the key, an error deletes.

@@ -1,6 +1,7 @@
 """Registered queries take all rows of their tables, compared with brute force on small tables."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -31,3 +32,14 @@ def test_tsne_maps_all_vectors(spark, tmp_path):
     spark.range(projection.MAX_POINTS + 1).selectExpr("id as vec_id", "array(1f, 2f) as embedding").write.mode("overwrite").parquet(str(tmp_path / "embeddings.parquet"))
     with pytest.raises(ProjectionError):
         query_pack.queries()["tsne"](spark, str(tmp_path))
+
+
+def test_field_paths_of_any_depth(spark, tmp_path):
+    deep = {"leaf": 1}
+    for i in range(10):
+        deep = {f"k{i}": deep}
+    spark.createDataFrame([(1, json.dumps(deep)), (2, '{"a": 2}')], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.path, r.value, r.event_id) for r in query_pack.queries()["field_paths"](spark, str(tmp_path)).collect()}
+    names = [f"k{i}" for i in reversed(range(10))] + ["leaf"]
+    assert {p for p, _, i in got if i == 1} == {".".join(names[: n + 1]) for n in range(11)}
+    assert (".".join(names), "1", 1) in got and ("a", "2", 2) in got and len(got) == 12
