@@ -1,8 +1,11 @@
 """The pipeline against brute force on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
+from test_operators import SCHEMA, brute_bytes, corpus
 
 import corpus_pipeline
+from tessel.llm import suffix_dedup
 
 
 def test_each_stage_runs_once(spark, tmp_path, monkeypatch):
@@ -25,3 +28,18 @@ def test_each_stage_runs_once(spark, tmp_path, monkeypatch):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 7 and out.count() == 7 and ran.value == 8
     assert read and all(spark.conf.get("spark.checkpoint.dir") in f for f in read + list(out.inputFiles()))
+
+
+@pytest.mark.parametrize("length", [100, 20])
+def test_shortened_texts(spark, length):
+    expected = []
+    for i, b, gone in brute_bytes(length):
+        kept, at = "", 0
+        for c in b.decode():
+            size = len(c.encode())
+            kept += "" if any(gone[at : at + size]) else c
+            at += size
+        expected.append((i, kept))
+    rows = spark.createDataFrame(corpus(), SCHEMA).repartition(3).withColumn("other", F.struct("block"))
+    got = [(r.doc_id, r.text) for r in suffix_dedup.shortened(rows, length).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
