@@ -2,13 +2,16 @@
 
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pytest
 
 from tessel import query_pack
 from tessel.errors import ProjectionError
-from tessel.operators import projection
+from tessel.operators import projection, search
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_conflicts_of_late_events(spark, tmp_path):
@@ -43,3 +46,11 @@ def test_field_paths_of_any_depth(spark, tmp_path):
     names = [f"k{i}" for i in reversed(range(10))] + ["leaf"]
     assert {p for p, _, i in got if i == 1} == {".".join(names[: n + 1]) for n in range(11)}
     assert (".".join(names), "1", 1) in got and ("a", "2", 2) in got and len(got) == 12
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_approximate_recall_on_the_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").cache()
+    for q in rows.where("vec_id % 100 = 0").collect():
+        exact, near = (set(r.vec_id for r in f(rows, list(q.embedding), 10, key="vec_id", vector="embedding").collect()) for f in (search.knn, search.approximate))
+        assert len(exact & near) >= 9, q.vec_id
