@@ -2,22 +2,24 @@
 
 A suffix array is sorted in two stages: only the suffixes smaller than their successors are sorted directly, all others
 are induced by one scan over the buckets of first bytes. Common prefixes of neighbours then show which strings of
-`length` bytes are equal. Order counts up to `length` bytes only; equal beginnings stay in order of position.
+`length` bytes are equal. Order counts up to `length` bytes only.
 
-To keep the arrays small and the exchange within a few bytes for each input byte, Spark runs over blocks of whole
-documents (see owners.py) and asks three global questions:
+Every removal is read off such arrays, that is, decided on bytes; hashes only route. Spark runs over blocks of whole
+documents (see owners.py):
 
-1. Every string of `length` bytes has a least GRAM-byte substring by hash, its anchor. Which anchors occur once only?
-   Strings around those can't repeat and need no sorting.
-2. Consecutive strings with one anchor make a stretch. Which stretches occur earlier as a whole? All their strings are
-   repeats. And which anchors stand in stretches of one kind only? Their strings repeat as whole stretches or not at all.
-   The first of a kind is always kept for the next question where its anchor has several, so nothing is lost.
-3. The strings of the stretches left are sorted in a suffix array for each block; which of its distinct strings occurs
-   in an earlier document of another block?
+1. Every string of `length` bytes has a least GRAM-byte substring by hash, its anchor. Consecutive strings with one anchor
+   make a stretch. Which anchors do other blocks have too? Strings around an anchor that occurs at one place only can't repeat.
+2. A block sorts the strings of all other stretches: of equal ones, all but the first go. The first ones, if other blocks
+   have their anchor, are sent as bytes to the anchor's owner, stretch by stretch. Where more than `many` blocks share an
+   anchor, its strings are sent one by one to owners by their own hash, so no owner gets all contexts of a frequent phrase.
+3. An owner sorts the strings of all blocks in a suffix array and answers for each whether an earlier one is equal.
+
+So a passage that a third of all documents hold reaches its owner once for each block.
 
 Defined cases: a null or empty text has no bytes; a text shorter than `length` loses nothing; rows that share a doc_id
-count as separate texts in the order of their text; a null doc_id counts as larger than all others; columns beyond id
-and text aren't read; an empty table gives an empty result.
+count as separate texts in the order of a hash of their text; a null doc_id counts as larger than all others; columns
+beyond id and text aren't read; a text of any length is one block's, whose arrays take some 60 bytes for each of its bytes
+that may repeat; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -26,121 +28,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import owners as own
-from .textarrays import INVERSE, U64, between, byte_sums, covered, flat, mix, powers, prefix_sums, runs, span_hash
+from .textarrays import INVERSE, U64, between, byte_sums, covered, flat, mix, powers, runs, span_hash
 
 GRAM = 48
+PIECE = 1 << 18
 PLACE = U64((1 << 30) - 1)
-SECOND_BASE = 0xC2B2AE3D27D4EB4F
-OTHER_VALUES = np.random.Generator(np.random.PCG64(52)).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+EVERY_BIT = U64((1 << 64) - 1)
 
 
-def packed_words(data: np.ndarray) -> np.ndarray:
-    """At each position, the next eight bytes as a big-endian number; zeros follow the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), dtype=np.uint64)
-    for i in range(8):
-        out = (out << U64(8)) | padded[i : i + len(data)]
-    return out
+def next_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """At these positions, the next eight bytes as a big-endian number; data ends with eight zeros at least."""
+    return np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))[at].astype(np.uint64)
+
+
+def padded(data: np.ndarray, more: int) -> np.ndarray:
+    return np.concatenate([data, np.zeros(more + 8, np.uint8)])
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successors; the empty suffix at the end is the smallest of all."""
     n = len(data)
     change = np.flatnonzero(data[1:] != data[:-1])  # the last place of each run of equal bytes
-    if not n:
-        return np.zeros(0, bool)
-    if not len(change):
-        return np.zeros(n, bool)
-    up = data[change] < data[change + 1]
-    run_of = np.searchsorted(change, np.arange(n))
     out = np.zeros(n, dtype=bool)
-    inside = run_of < len(change)
-    out[inside] = up[run_of[inside]]
+    if len(change):
+        size = np.diff(np.concatenate([[-1], change]))
+        out[: change[-1] + 1] = np.repeat(data[change] < data[change + 1], size)
     return out
 
 
-def sort_directly(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes at these ascending positions by their first `depth` bytes at least, ties by position."""
-    order = at[np.argsort(words[at], kind="stable")]
-    key = words[order]
-    tied = np.concatenate([key[1:] == key[:-1], [False]]) if len(order) else np.zeros(0, bool)
-    n, done = len(words), 8
-    place = None
-    while done < depth and tied.any():
-        # tied[i]: sorted place i + 1 equals place i so far. Only members of such groups are looked at again.
-        member = tied.copy()
-        member[1:] |= tied[:-1]
-        group_head = member & ~np.concatenate([[False], tied[:-1]])
-        place = np.flatnonzero(member)
-        group = np.cumsum(group_head)[place]
+def sort_directly(at: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes at these positions by their first `depth` bytes at least. data: padded by depth and eight bytes."""
+    key = next_words(data, at)
+    by = np.argsort(key)
+    order, key = at[by], key[by]
+    tie = key[1:] == key[:-1]
+    place = np.arange(len(order))
+    done = 8
+    while done < depth and tie.any():
+        # Only members of groups that are tied so far are looked at again; place: where in the order they stand.
+        member = np.concatenate([[False], tie]) | np.concatenate([tie, [False]])
+        head = member & ~np.concatenate([[False], tie])
+        place, head = place[member], head[member]
         pos = order[place]
-        nxt = pos + done
-        more = np.where(nxt < n, words[np.minimum(nxt, n - 1)], U64(0))
-        new = np.lexsort((pos, more, group))
-        order[place] = pos[new]
-        g, m = group[new], more[new]
-        tied = np.zeros(len(order), dtype=bool)
-        tied[place[:-1]] = (g[1:] == g[:-1]) & (m[1:] == m[:-1])
+        key = next_words(data, pos + done)
+        group = np.cumsum(head) - 1
+        differs = ~head[1:] & (key[1:] != key[:-1])
+        if differs.any():
+            uneven = np.zeros(group[-1] + 1, dtype=bool)
+            uneven[group[1:][differs]] = True
+            some = np.flatnonzero(uneven[group])
+            by = np.lexsort((key[some], group[some]))
+            pos[some], key[some] = pos[some][by], key[some][by]
+            order[place] = pos
+        tie = ~head[1:] & (key[1:] == key[:-1])
         done += 8
     return order
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes in the order of their first `depth` bytes, ties by position or by the order of their successors.
+def closed(wanted: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """The wanted suffixes and those whose order induces theirs: of each, the successors up to the first small one."""
+    n = len(wanted)
+    at = np.arange(n)
+    last_wanted = np.maximum.accumulate(np.where(wanted, at, -1))
+    last_small = np.concatenate([[-1], np.maximum.accumulate(np.where(small, at, -1))[:-1]])  # before each place
+    return last_wanted > last_small if n else wanted
+
+
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The wanted (else all) suffixes in the order of their first `depth` bytes.
 
     Zeros count as following the end, so a suffix that reaches it may stand beside one that goes on with zeros."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     small = smaller_than_next(data)
-    directly = sort_directly(np.flatnonzero(small), packed_words(data), depth)
+    needed = np.ones(n, bool) if wanted is None else closed(wanted | np.zeros(n, bool), small)
+    directly = sort_directly(np.flatnonzero(small & needed), padded(data, depth), depth)
     by_byte = np.searchsorted(data[directly], np.arange(257))
+    turn = np.flatnonzero((data[1:] != data[:-1]) | (needed[1:] != needed[:-1])) + 1  # where runs of one needed byte begin
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
+    if needed[n - 1]:
+        waiting[data[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
     out = []
-
-    def induce(found: np.ndarray, c: int) -> None:
-        before = found[found > 0] - 1
-        first = data[before]
-        before, first = before[first > c], first[first > c]
-        if len(before):
-            order = np.argsort(first, kind="stable")
-            before, first = before[order], first[order]
-            cut = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-            for i, j in zip(cut, [*cut[1:], len(before)], strict=True):
-                waiting[first[i]].append(before[i:j])
-
     for c in range(256):
-        wave = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
-        large = [wave]
-        while len(wave):  # a suffix that starts with the same byte comes after its successor
-            wave = wave[wave > 0] - 1
-            wave = wave[(data[wave] == c) & ~small[wave]]
-            large.append(wave)
-        own_large = np.concatenate(large)
-        own_small = directly[by_byte[c] : by_byte[c + 1]]
-        both = np.concatenate([own_large, own_small])
-        induce(both, c)
-        waiting[c] = []
-        out.append(both)
-    return np.concatenate(out)
-
-
-def equal_neighbours(sa: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+        found = directly[by_byte[c] : by_byte[c + 1]]
+        if waiting[c]:
+            # A suffix that starts with the same byte comes after its successor: runs are entered by distance from their ends.
+            wave = np.concatenate(waiting[c])
+            begin = np.concatenate([[0], turn])[np.searchsorted(turn, wave, side="right")]
+            size = wave - begin + 1
+            steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            large = np.repeat(wave, size) - steps
+            if size.max() > 1:
+                large = large[np.argsort(steps, kind="stable")]
+            found = np.concatenate([large, found])
+            waiting[c] = []
+        if len(found):
+            before = found[found > 0] - 1
+            before = before[needed[before] & (data[before] > c)]
+            if len(before):
+                first = data[before]
+                by = np.argsort(first, kind="stable")
+                before, first = before[by], first[by]
+                at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist()
+                for i, j in zip(at, [*at[1:], len(before)], strict=True):
+                    waiting[first[i]].append(before[i:j])
+            out.append(found)
+    sa = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return sa if wanted is None else sa[wanted[sa]]
+
+
+def equal_neighbours(sa: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """For each place but the first: whether the common prefix with the place before has `length` bytes."""
-    n = len(words)
-    whole = sa + length <= n
+    whole = sa + length <= len(data)
     same = whole[1:] & whole[:-1]
-    live = np.flatnonzero(same)
+    live, ahead = np.flatnonzero(same), padded(data, length)
     for done in range(0, length, 8):
-        a, b = sa[live] + done, sa[live + 1] + done
-        keep = U64((1 << 64) - 1) if done + 8 <= length else U64(((1 << 64) - 1) ^ ((1 << 8 * (8 - (length - done))) - 1))
-        eq = ((words[a] ^ words[b]) & keep) == 0
+        keep = EVERY_BIT if done + 8 <= length else EVERY_BIT ^ U64((1 << 8 * (8 - (length - done))) - 1)
+        eq = ((next_words(ahead, sa[live] + done) ^ next_words(ahead, sa[live + 1] + done)) & keep) == 0
         same[live[~eq]] = False
         live = live[eq]
     return same
 
 
+def groups(data: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted starts in the order of their strings of `length` bytes, and the number of each one's group of equals."""
+    sa = suffix_array(data, length, wanted)
+    if not len(sa):
+        return sa, sa
+    return sa, np.cumsum(np.concatenate([[0], ~equal_neighbours(sa, data, length)]))
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each `width` consecutive values."""
     n = len(values)
@@ -151,180 +169,167 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def pieces(rows: np.ndarray, most: int = 300_000) -> list[tuple[int, int, int, int]]:
-    """Runs of whole documents of about `most` bytes, so that work on them stays in the cache: first and end row, first and end byte."""
-    out, i, n = [], 0, len(rows) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(rows, rows[i] + most, side="right")) - 1)
-        if rows[j] > rows[i]:
-            out.append((i, j, int(rows[i]), int(rows[j])))
-        i = j
-    return out
-
-
-def stretches_of(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """First and end start of each run of strings with one anchor, the anchor's place and its hash.
+def stretches_of(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """First and end start of each run of valid strings of `length` bytes with one anchor, the anchor's place and its hash.
 
     Grams are compared by the upper 34 bits of their hash, the leftmost of equal ones first: a choice by content alone.
+    Works through the bytes in pieces that stay in the cache; a stretch may be cut where a piece ends.
     """
-    gram = min(GRAM, length)
-    z = np.zeros(0, np.int64)
-    long = np.diff(rows) >= length
-    if len(data) < length or not long.any():
-        return z, z, z, np.zeros(0, np.uint64)
-    sums = byte_sums(data)
-    grams = (sums[gram:] - sums[:-gram]) * powers(len(data), INVERSE)[: len(data) - gram + 1]
-    packed = grams * U64(0xD6E8FEB86659FD93)
-    packed &= ~PLACE
-    packed |= np.arange(len(packed), dtype=np.uint64)
-    place = (sliding_least(packed, length - gram + 1) & PLACE).astype(np.int64)
-    valid = np.zeros(len(place), dtype=bool)
-    for i, j in zip(*runs(long), strict=True):  # rows i..j-1 are long enough
-        valid[rows[i] : rows[j]] = True
-    ends = rows[1:][long]
-    back = (ends[:, None] - np.arange(1, length)[None, :]).ravel()
-    valid[back[back < len(valid)]] = False
-    head = valid.copy()
-    head[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
-    tail = valid.copy()
-    tail[:-1] &= ~valid[1:] | head[1:]
-    start = np.flatnonzero(head)
-    place = place[start]
-    return start, np.flatnonzero(tail) + 1, place, mix(grams[place])
+    gram, n = min(GRAM, length), len(data) - length + 1
+    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    for lo in range(0, n, PIECE):
+        piece, ok = data[lo : min(lo + PIECE, n) + length - 1], valid[lo : min(lo + PIECE, n)]
+        sums = byte_sums(piece)
+        grams = (sums[gram:] - sums[:-gram]) * powers(len(piece), INVERSE)[: len(piece) - gram + 1]
+        packed = grams * U64(0xD6E8FEB86659FD93)
+        packed &= ~PLACE
+        packed |= np.arange(len(packed), dtype=np.uint64)
+        place = (sliding_least(packed, length - gram + 1) & PLACE).astype(np.int64)
+        head = ok.copy()
+        head[1:] &= ~ok[:-1] | (place[1:] != place[:-1])
+        tail = ok.copy()
+        tail[:-1] &= ~ok[1:] | head[1:]
+        start = np.flatnonzero(head)
+        out.append((start + lo, np.flatnonzero(tail) + 1 + lo, place[start] + lo, mix(grams[place[start]])))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 class Block:
-    """One block's documents as bytes, its stretches and their anchors."""
+    """One block's documents as bytes, in order, and its stretches: first and end start, and their anchors' place and hash."""
 
     def __init__(self, t: pa.Table, length: int):
-        self.table, self.rank = own.sorted_rows(t)
+        self.table, self.rank = own.ordered(t)
         self.data, self.rows = flat(self.table.column("text"))
         self.n, self.length = len(self.data), length
-        self.pieces = pieces(self.rows)
-        found = [stretches_of(self.data[lo:hi], self.rows[i : j + 1] - lo, length) for i, j, lo, hi in self.pieces]
-        offset = [lo for _, _, lo, _ in self.pieces]
-        join = lambda k: np.concatenate([f[k] + o for f, o in zip(found, offset, strict=True)]) if found else np.zeros(0, np.int64)
-        self.start, self.end, self.place = join(0), join(1), join(2)
-        self.anchor = np.concatenate([f[3] for f in found]) if found else np.zeros(0, np.uint64)
+        valid = np.ones(max(0, self.n - length + 1), dtype=bool)  # strings within one document
+        valid[between(np.maximum(self.rows[1:] - length + 1, self.rows[:-1]), self.rows[1:], self.n)[: len(valid)]] = False
+        self.start, self.end, self.place, self.anchor = stretches_of(self.data, valid, length)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.rows, at, side="right") - 1
 
-    def shared(self, answered: pa.Table, n_owners: int) -> np.ndarray:
-        """Stretches whose anchor occurs at other places too."""
+    def keys(self) -> np.ndarray:
+        return np.unique(self.anchor)
+
+    def local(self, answered: pa.Table, n_owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """After the first answer: starts of strings that an earlier one in this block equals, and of those that have to be asked about."""
         keys, inverse = np.unique(self.anchor, return_inverse=True)
-        if not len(keys):
-            return np.zeros(0, np.int64)
+        elsewhere, _ = own.told(keys, n_owners, answered)
         low, high = np.full(len(keys), self.n), np.zeros(len(keys), np.int64)
         np.minimum.at(low, inverse, self.place)
         np.maximum.at(high, inverse, self.place)
-        return np.flatnonzero(((low < high) | own.told(keys, n_owners, answered))[inverse])
-
-    def names(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit names of spans of bytes, each within a document."""
-        x, y = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.uint32)
-        order = np.argsort(start, kind="stable")
-        cuts = np.searchsorted(start[order], [lo for _, _, lo, _ in self.pieces] + [self.n + 1])
-        for k, (_, _, lo, hi) in enumerate(self.pieces):
-            own_spans = order[cuts[k] : cuts[k + 1]]
-            if len(own_spans):
-                s, e = start[own_spans] - lo, end[own_spans] - lo
-                salt = (e - s).astype(np.uint64) * U64(0xA24BAED4963EE407)
-                x[own_spans] = mix(span_hash(byte_sums(self.data[lo:hi]), s, e) + salt)
-                y[own_spans] = (span_hash(prefix_sums(OTHER_VALUES[self.data[lo:hi]], SECOND_BASE), s, e, SECOND_BASE) + salt).astype(np.uint32)
-        return x, y
-
-    def kinds(self, answered: pa.Table, n_owners: int) -> tuple[np.ndarray, ...]:
-        """The stretches with shared anchors, their distinct pairs of anchor and name (sorted), the rank and number of each pair's first, and each stretch's pair."""
-        some = self.shared(answered, n_owners)
-        anchor, name = self.anchor[some], self.names(self.start[some], self.end[some] + self.length - 1)[0]
-        order = np.lexsort((name, anchor))
-        a, b = anchor[order], name[order]
-        head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        place = np.empty(len(some), dtype=np.int64)
-        place[order] = np.cumsum(head) - 1
-        first = order[head]
-        return some, a[head], b[head], self.rank[self.doc(self.start[some[first]])], first, place
-
-    def stretches(self, answered: list[pa.Table], n_owners: int) -> tuple[np.ndarray, np.ndarray]:
-        """After two answers: stretches that occur earlier as a whole, and those that the suffix array has to look at."""
-        some, anchor, _, _, first, place = self.kinds(answered[0], n_owners)
-        if not len(some):
-            return some, some
-        earlier, mixed = own.told(anchor, n_owners, answered[1], 2)
-        gone = earlier[place]
-        later = np.ones(len(some), dtype=bool)
-        later[first] = False
-        gone |= later
-        return some[gone], some[~gone & mixed[place]]
-
-    def groups(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start of each string in these stretches, and the number of its group of equals, by a suffix array over their bytes."""
-        length = self.length
-        if not len(left):
-            z = np.zeros(0, np.int64)
-            return z, z
-        inside = between(self.start[left], self.end[left] + length - 1, self.n)
+        elsewhere, again = elsewhere[inverse], (low < high)[inverse]
+        some = np.flatnonzero(elsewhere | again)
+        inside = between(self.start[some], self.end[some] + self.length - 1, self.n)
         origin = np.flatnonzero(inside)
-        data = self.data[inside]
-        wanted = between(self.start[left], self.end[left], self.n)[inside]
-        sa = suffix_array(data, length)
-        sa = sa[wanted[sa]]
-        same = equal_neighbours(sa, packed_words(data), length)
-        return origin[sa], np.cumsum(np.concatenate([[0], ~same]))
-
-    def strings(self, left: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct strings of the stretches: sorted names, ranks; starts of all, each one's place among the names, whether it is its group's first."""
-        at, group = self.groups(left)
+        at, group = groups(self.data[inside], between(self.start[some], self.end[some], self.n)[inside], self.length)
         if not len(at):
-            z = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64), z, z, np.zeros(0, bool)
+            return at, at
+        at = origin[at]
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         first = np.minimum.reduceat(at, heads)
-        x, y = self.names(first, first + self.length)
-        order = np.lexsort((y, x))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        return x[order], y[order], self.rank[self.doc(first[order])], at, place[group], at == first[group]
+        return at[at != first[group]], np.sort(first[between(self.start[elsewhere], self.end[elsewhere], self.n)[first]])
+
+    def items(self, first: np.ndarray, answered: pa.Table, n_owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What to send of these strings, in order of keys: key, first start and number of strings of each run of a stretch."""
+        stretch = np.searchsorted(self.start, first, side="right") - 1
+        keys, inverse = np.unique(self.anchor, return_inverse=True)
+        often = own.told(keys, n_owners, answered)[1][inverse][stretch] if len(first) else np.zeros(0, bool)
+        head = np.ones(len(first), dtype=bool)
+        head[1:] = (first[1:] != first[:-1] + 1) | (stretch[1:] != stretch[:-1]) | often[1:]
+        at = np.flatnonzero(head)
+        key, start, count = self.anchor[stretch[at]], first[at], np.diff(np.concatenate([at, [len(first)]]))
+        alone = np.flatnonzero(often[at])
+        for lo in range(0, len(alone), PIECE):
+            some = alone[lo : lo + PIECE]
+            begin = int(start[some[0]])
+            s = start[some] - begin
+            key[some] = span_hash(byte_sums(self.data[begin : int(start[some[-1]]) + self.length]), s, s + self.length)
+        by = np.argsort(key, kind="stable")
+        return key[by], start[by], count[by]
+
+
+def message(b: Block, start: np.ndarray, count: np.ndarray) -> bytes:
+    """Runs of strings as bytes, with the ranks of their documents."""
+    docs, doc = np.unique(b.doc(start), return_inverse=True)
+    size = count + b.length - 1
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return own.bundle(b.rank[docs].astype("<u8").tobytes(), own.planes(doc), own.planes(count), b.data[at].tobytes())
+
+
+def earlier(asked: DataFrame, length: int) -> DataFrame:
+    """For each string of each message, whether another block has an equal one of an earlier document."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        ranks, docs, counts, datas, n_docs = [], [], [], [], 0
+        for m in t.column("items").to_pylist():
+            rank, doc, count, data = own.unbundle(m)
+            ranks.append(np.frombuffer(rank, dtype="<u8").reshape(-1, 2))
+            docs.append(own.from_planes(doc).astype(np.int64) + n_docs)
+            counts.append(own.from_planes(count).astype(np.int64))
+            datas.append(np.frombuffer(data, dtype=np.uint8))
+            n_docs += len(ranks[-1])
+        rank, doc, count, data = (np.concatenate(x) for x in (ranks, docs, counts, datas))
+        by = np.lexsort((rank[:, 1], rank[:, 0]))
+        new = np.concatenate([[True], (rank[by][1:] != rank[by][:-1]).any(axis=1)])
+        place = np.empty(n_docs, dtype=np.int64)
+        place[by] = np.cumsum(new)
+        size = count + length - 1
+        start = np.cumsum(size) - size
+        wanted = between(start, start + count, len(data))
+        at, group = groups(data, wanted, length)
+        who = place[doc][np.searchsorted(start, at, side="right") - 1]
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        hit = np.zeros(len(data), dtype=bool)
+        hit[at] = who > np.minimum.reduceat(who, heads)[group]
+        hit = hit[wanted]
+        ends = np.cumsum([c.sum() for c in counts])
+        bits = [np.packbits(x).tobytes() for x in np.split(hit, ends[:-1])]
+        return pa.table({"block": t.column("block"), "owner": t.column("owner"), "bits": pa.array(bits, pa.binary())})
+
+    return asked.groupBy("owner").applyInArrow(answer, own.ANSWER)
 
 
-def questions(docs: DataFrame, length: int, *keep: str) -> tuple[DataFrame, list[DataFrame], int]:
-    """The blocks, the answers to all three questions, and the number of owners."""
-    n_blocks, n_owners = own.sizes(docs.sparkSession)
-    blocks = own.blocks_of(docs, n_blocks, *keep)
+def questions(docs: DataFrame, length: int, block_bytes: int, many: int, *keep: str) -> tuple[DataFrame, list[DataFrame], tuple[int, int]]:
+    """The blocks, the answers to both questions, and the numbers of owners."""
+    blocks, n = own.blocks_of(docs, block_bytes, *keep)
+    n_owners = n, 4 * n  # strings that may repeat are several times as long as the texts they stand in
 
     def first_ask(block: int, t: pa.Table, _: list) -> pa.Table:
-        return own.ask(block, n_owners, np.unique(Block(t, length).anchor))
+        return own.ask(block, n_owners[0], Block(t, length).keys())
 
     def second_ask(block: int, t: pa.Table, answered: list) -> pa.Table:
-        _, anchor, name, rank, _, _ = Block(t, length).kinds(answered[0], n_owners)
-        return own.ask(block, n_owners, anchor, name, rank)
-
-    def third_ask(block: int, t: pa.Table, answered: list) -> pa.Table:
         b = Block(t, length)
-        x, y, rank, *_ = b.strings(b.stretches(answered, n_owners)[1])
-        return own.ask(block, n_owners, x, y, rank)
-
-    first = own.answers(own.with_answers(blocks, [], first_ask, own.ASK))
-    second = own.kinds(own.with_answers(blocks, [first], second_ask, own.ASK))
-    third = own.answers(own.with_answers(blocks, [first, second], third_ask, own.ASK))
-    return blocks, [first, second, third], n_owners
-
-
-def repeats(b: Block, answered: list[pa.Table], n_owners: int) -> np.ndarray:
-    """After all answers: which bytes of a block stand in strings that start earlier too."""
-    whole, left = b.stretches(answered, n_owners)
-    x, _, _, at, place, first = b.strings(left)
-    hit = own.told(x, n_owners, answered[2])[place] | ~first if len(at) else np.zeros(0, bool)
-    return covered(at[hit], b.length, b.n) | between(b.start[whole], b.end[whole] + b.length - 1, b.n)
-
-
-def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+        key, start, count = b.items(b.local(answered[0], n_owners[0])[1], answered[0], n_owners[0])
+        at = own.cuts(key, n_owners[1])
+        owner = np.flatnonzero(np.diff(at))
+        items = [message(b, start[at[i] : at[i + 1]], count[at[i] : at[i + 1]]) for i in owner]
+        return pa.table({"block": pa.array([block] * len(owner), pa.int32()), "owner": pa.array(owner, pa.int32()), "items": pa.array(items, pa.binary())})
+
+    first = own.shared(own.with_answers(blocks, [], first_ask, own.ASK), many)
+    second = earlier(own.with_answers(blocks, [first], second_ask, "block int, owner int, items binary"), length)
+    return blocks, [first, second], n_owners
+
+
+def repeats(b: Block, answered: list[pa.Table], n_owners: tuple[int, int]) -> np.ndarray:
+    """After both answers: which bytes of a block stand in strings that start earlier too."""
+    again, first = b.local(answered[0], n_owners[0])
+    key, start, count = b.items(first, answered[0], n_owners[0])
+    at = own.cuts(key, n_owners[1])
+    hit = [again]
+    for owner, bits in zip(answered[1].column("owner").to_pylist(), answered[1].column("bits").to_pylist(), strict=True):
+        s, c = start[at[owner] : at[owner + 1]], count[at[owner] : at[owner + 1]]
+        strings = np.repeat(s - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        hit.append(strings[np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(strings)).astype(bool)])
+    return covered(np.concatenate(hit), b.length, b.n)
+
+
+def removed_bytes(docs: DataFrame, length: int = 100, block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans, kept (binary): documents without the bytes of strings that start earlier too.
 
     spans: the maximal removed runs as start and end byte.
     """
-    blocks, answered, n_owners = questions(docs, length)
+    blocks, answered, n_owners = questions(docs, length, block_bytes, many)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(block: int, t: pa.Table, answered: list) -> pa.Table:
@@ -342,9 +347,9 @@ def removed_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     return own.with_answers(blocks, answered, remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def shortened(docs: DataFrame, length: int = 100, keep: str = "other") -> DataFrame:
+def shortened(docs: DataFrame, length: int = 100, keep: str = "other", block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
     """doc_id, text and a column to keep: documents without repeats; a character that loses a byte goes as a whole. A null text becomes empty."""
-    blocks, answered, n_owners = questions(docs, length, keep)
+    blocks, answered, n_owners = questions(docs, length, block_bytes, many, keep)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), blocks.schema[keep]])
 
     def shorten(block: int, t: pa.Table, answered: list) -> pa.Table:

@@ -133,16 +133,26 @@ def test_suffix_array():
             data = rnd.integers(1, letters + 1, n).astype(np.uint8)
             b = data.tobytes()
             for depth in (8, 20, 1000):
-                sa = suffix_dedup.suffix_array(data, depth)
-                assert sorted(sa.tolist()) == list(range(n))
-                assert all(b[x : x + depth] <= b[y : y + depth] for x, y in itertools.pairwise(sa))
-            same = suffix_dedup.equal_neighbours(sa, suffix_dedup.packed_words(data), 11)
+                wanted = rnd.random(n) < 0.3
+                for sa, places in ((suffix_dedup.suffix_array(data, depth), range(n)), (suffix_dedup.suffix_array(data, depth, wanted), np.flatnonzero(wanted))):
+                    assert sorted(sa.tolist()) == list(places)
+                    assert all(b[x : x + depth] <= b[y : y + depth] for x, y in itertools.pairwise(sa))
+            sa = suffix_dedup.suffix_array(data, 1000)
+            same = suffix_dedup.equal_neighbours(sa, data, 11)
             assert same.tolist() == [len(b[x : x + 11]) == 11 and b[x : x + 11] == b[y : y + 11] for x, y in itertools.pairwise(sa)]
 
 
+def ranked(i, text):
+    """The order of rows: doc_id, then Spark's hash of the text."""
+    return (*order(i), TIES[text])
+
+
+TIES = {}
+
+
 def brute_bytes(length):
     seen, out = set(), []
-    for i, t, *_ in sorted(corpus(), key=lambda r: (*order(r[0]), r[1] or "")):
+    for i, t, *_ in sorted(corpus(), key=lambda r: ranked(r[0], r[1])):
         b, gone = (t or "").encode(), bytearray(len((t or "").encode()))
         for k in range(len(b) - length + 1):
             if b[k : k + length] in seen:
@@ -152,17 +162,62 @@ def brute_bytes(length):
     return out
 
 
-@pytest.mark.parametrize("length", [100, 20])
-def test_suffix_dedup(docs, empty, length):
+def learn_ties(docs):
+    TIES.update({r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()})
+
+
+@pytest.mark.parametrize("length,block_bytes,many", [(100, 8 << 20, 256), (100, 5000, 256), (100, 5000, 1), (20, 3000, 2)])
+def test_suffix_dedup(docs, empty, length, block_bytes, many):
+    learn_ties(docs)
     expected = [(i, len(b), sum(g), len(re.findall(b"\1+", g)), bytes(x for x, y in zip(b, g, strict=True) if not y)) for i, b, g in brute_bytes(length)]
-    got = suffix_dedup.removed_bytes(docs, length).collect()
+    got = suffix_dedup.removed_bytes(docs, length, block_bytes, many).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got), key=str) == sorted(expected, key=str)
-    texts = suffix_dedup.shortened(docs.withColumn("other", F.struct("block", "spans")), length).collect()
-    assert len(texts) == len(corpus()) and {r.other.block for r in texts} == {"b"}
-    assert all(t.encode() in {k for *_, k in expected} or True for t in (r.text for r in texts))
     assert suffix_dedup.removed_bytes(empty, length).count() == 0
 
 
+def test_every_removal_comes_from_a_suffix_array(monkeypatch):
+    """Blocks and owners, as Spark runs them: without equal neighbours in the arrays nothing is removed, whatever the hashes say."""
+    texts = [t or "" for _, t, *_ in corpus()]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts, "tie": [0] * len(texts)})
+
+    def removed():
+        b = suffix_dedup.Block(table, 100)
+        none = pa.table({"owner": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+        return int(suffix_dedup.repeats(b, [none, none], (3, 12)).sum())
+
+    assert removed() > 5000
+    monkeypatch.setattr(suffix_dedup, "equal_neighbours", lambda sa, data, length: np.zeros(max(0, len(sa) - 1), bool))
+    assert removed() == 0
+
+
+def test_equal_hashes_remove_nothing(spark, monkeypatch):
+    """If all grams had one hash, all strings would meet in one owner, and bytes would still decide."""
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: np.zeros(len(x), np.uint64))
+    learn_ties(spark.createDataFrame(corpus(), SCHEMA))
+    table = pa.table({"doc_id": [1, 2], "text": ["a" * 150 + "b" * 200, "b" * 120 + "c" * 300], "tie": [0, 0]})
+    blocks = [suffix_dedup.Block(table.slice(i, 1), 100) for i in range(2)]
+    both = np.packbits([True]).tobytes() + np.packbits([False]).tobytes()
+    told = pa.table({"owner": pa.array([0], pa.int32()), "bits": pa.array([both], pa.binary())})
+    messages = []
+    for b in blocks:
+        key, start, count = b.items(b.local(told, 1)[1], told, 1)
+        assert set(key.tolist()) == {0}
+        messages.append((start, count, suffix_dedup.message(b, start, count)))
+    asked = spark.createDataFrame([(i, 0, m) for i, (_, _, m) in enumerate(messages)], "block int, owner int, items binary")
+    bits = {r.block: np.unpackbits(np.frombuffer(r.bits, np.uint8), count=int(messages[r.block][1].sum())) for r in suffix_dedup.earlier(asked, 100).collect()}
+    assert bits[0].sum() == 0 and bits[1].sum() == 1  # of the second text's b strings the first ones; only one is new to its own text
+
+
+def test_texts_longer_than_a_piece(docs):
+    rnd = random.Random(3)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(700))
+    long = "x" * (suffix_dedup.PIECE + 5000) + passage + "".join(rnd.choice("abcdefgh ") for _ in range(suffix_dedup.PIECE)) + passage
+    rows = docs.sparkSession.createDataFrame([(2, long), (1, passage)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, [(s.start, s.end) for s in r.spans]) for r in suffix_dedup.removed_bytes(rows, block_bytes=1000).collect()}
+    first = suffix_dedup.PIECE + 5000
+    assert got[1] == (0, []) and got[2][1] == [(1, first + 700), (len(long) - 700, len(long))]
+
+
 def test_whole_characters_go(spark):
     # Two texts share 100 bytes that begin and end within characters.
     a, b = "é" * 80, "x" + "é" * 60
@@ -332,9 +387,10 @@ def test_quality(spark):
 def test_packed_questions(spark):
     x = np.array([5, 5, 900, 2**63 + 7], dtype=np.uint64)
     for part in (x, x[:2], x[:0], x[3:]):
-        assert owners.unpack(owners.pack(part)).tolist() == part.tolist()
+        assert owners.from_planes(owners.planes(part)).tolist() == part.tolist()
+    assert owners.unbundle(owners.bundle(b"", b"abc", b"d" * 1000)) == [b"", b"abc", b"d" * 1000]
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 100).astype(np.uint64) * np.uint64(2))
-    asked = pa.concat_tables([owners.ask(0, 7, keys), owners.ask(1, 7, keys[::3]), owners.ask(2, 7, keys[:0])])
-    got = owners.answers(spark.createDataFrame(asked.to_pandas(), owners.ASK)).toArrow()
-    mine = owners.told(keys, 7, got.filter(pa.compute.equal(got["block"], 0)))
-    assert mine.tolist() == [i % 3 == 0 for i in range(100)]
+    asked = pa.concat_tables([owners.ask(0, 7, keys), owners.ask(1, 7, keys[::3]), owners.ask(2, 7, keys[:0]), owners.ask(3, 7, keys[::6])])
+    got = owners.shared(spark.createDataFrame(asked.to_pandas(), owners.ASK), 2).toArrow()
+    elsewhere, often = owners.told(keys, 7, got.filter(pa.compute.equal(got["block"], 0)))
+    assert elsewhere.tolist() == [i % 3 == 0 for i in range(100)] and often.tolist() == [i % 6 == 0 for i in range(100)]

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import SCHEMA, brute_bytes, corpus
+from test_operators import SCHEMA, brute_bytes, corpus, learn_ties
 
 import corpus_pipeline
 from tessel.llm import suffix_dedup
@@ -32,6 +32,8 @@ def test_each_stage_runs_once(spark, tmp_path, monkeypatch):
 
 @pytest.mark.parametrize("length", [100, 20])
 def test_shortened_texts(spark, length):
+    rows = spark.createDataFrame(corpus(), SCHEMA).repartition(3).withColumn("other", F.struct("block"))
+    learn_ties(rows)
     expected = []
     for i, b, gone in brute_bytes(length):
         kept, at = "", 0
@@ -40,6 +42,5 @@ def test_shortened_texts(spark, length):
             kept += "" if any(gone[at : at + size]) else c
             at += size
         expected.append((i, kept))
-    rows = spark.createDataFrame(corpus(), SCHEMA).repartition(3).withColumn("other", F.struct("block"))
     got = [(r.doc_id, r.text) for r in suffix_dedup.shortened(rows, length).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
