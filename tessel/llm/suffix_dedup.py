@@ -87,11 +87,15 @@ def sort_directly(at: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
 
 def closed(wanted: np.ndarray, small: np.ndarray) -> np.ndarray:
     """The wanted suffixes and those whose order induces theirs: of each, the successors up to the first small one."""
-    n = len(wanted)
-    at = np.arange(n)
-    last_wanted = np.maximum.accumulate(np.where(wanted, at, -1))
-    last_small = np.concatenate([[-1], np.maximum.accumulate(np.where(small, at, -1))[:-1]])  # before each place
-    return last_wanted > last_small if n else wanted
+    # Only the places after the last wanted one of a run can be missing.
+    out = wanted.copy()
+    more = np.flatnonzero(wanted[:-1] & ~wanted[1:])
+    while len(more):
+        more = more[~small[more]] + 1
+        more = more[more < len(out)]
+        more = more[~out[more]]
+        out[more] = True
+    return out
 
 
 def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -102,10 +106,13 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     if not n:
         return np.zeros(0, np.int64)
     small = smaller_than_next(data)
-    needed = np.ones(n, bool) if wanted is None else closed(wanted | np.zeros(n, bool), small)
+    needed = np.ones(n, bool) if wanted is None else closed(wanted, small)
     directly = sort_directly(np.flatnonzero(small & needed), padded(data, depth), depth)
     by_byte = np.searchsorted(data[directly], np.arange(257))
-    turn = np.flatnonzero((data[1:] != data[:-1]) | (needed[1:] != needed[:-1])) + 1  # where runs of one needed byte begin
+    turn = np.flatnonzero((data[1:] != data[:-1]) | (needed[1:] != needed[:-1])) + 1
+    begin = np.zeros(n, dtype=np.int32 if n < 1 << 31 else np.int64)  # where each place's run of one needed byte begins
+    begin[turn] = turn
+    np.maximum.accumulate(begin, out=begin)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     if needed[n - 1]:
         waiting[data[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
@@ -115,13 +122,11 @@ def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None)
         if waiting[c]:
             # A suffix that starts with the same byte comes after its successor: runs are entered by distance from their ends.
             wave = np.concatenate(waiting[c])
-            begin = np.concatenate([[0], turn])[np.searchsorted(turn, wave, side="right")]
-            size = wave - begin + 1
-            steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            large = np.repeat(wave, size) - steps
+            size = wave - begin[wave] + 1
             if size.max() > 1:
-                large = large[np.argsort(steps, kind="stable")]
-            found = np.concatenate([large, found])
+                steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                wave = (np.repeat(wave, size) - steps)[np.argsort(steps, kind="stable")]
+            found = np.concatenate([wave, found])
             waiting[c] = []
         if len(found):
             before = found[found > 0] - 1
@@ -209,26 +214,26 @@ class Block:
         return np.searchsorted(self.rows, at, side="right") - 1
 
     def keys(self) -> np.ndarray:
-        return np.unique(self.anchor)
+        x = np.sort(self.anchor)
+        return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
     def local(self, answered: pa.Table, n_owners: int) -> tuple[np.ndarray, np.ndarray]:
         """After the first answer: starts of strings that an earlier one in this block equals, and of those that have to be asked about."""
         keys, inverse = np.unique(self.anchor, return_inverse=True)
-        elsewhere, _ = own.told(keys, n_owners, answered)
         low, high = np.full(len(keys), self.n), np.zeros(len(keys), np.int64)
         np.minimum.at(low, inverse, self.place)
         np.maximum.at(high, inverse, self.place)
-        elsewhere, again = elsewhere[inverse], (low < high)[inverse]
-        some = np.flatnonzero(elsewhere | again)
-        inside = between(self.start[some], self.end[some] + self.length - 1, self.n)
+        again, elsewhere = (low < high)[inverse], own.told(keys, n_owners, answered)[0][inverse]
+        asked = between(self.start[elsewhere], self.end[elsewhere], self.n)
+        inside = between(self.start[again], self.end[again] + self.length - 1, self.n)
         origin = np.flatnonzero(inside)
-        at, group = groups(self.data[inside], between(self.start[some], self.end[some], self.n)[inside], self.length)
-        if not len(at):
-            return at, at
-        at = origin[at]
-        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        first = np.minimum.reduceat(at, heads)
-        return at[at != first[group]], np.sort(first[between(self.start[elsewhere], self.end[elsewhere], self.n)[first]])
+        at, group = groups(self.data[inside], between(self.start[again], self.end[again], self.n)[inside], self.length)
+        if len(at):
+            at = origin[at]
+            first = np.minimum.reduceat(at, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
+            at = at[at != first[group]]
+            asked[at] = False
+        return at, np.flatnonzero(asked)
 
     def items(self, first: np.ndarray, answered: pa.Table, n_owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What to send of these strings, in order of keys: key, first start and number of strings of each run of a stretch."""
@@ -261,6 +266,8 @@ def earlier(asked: DataFrame, length: int) -> DataFrame:
     """For each string of each message, whether another block has an equal one of an earlier document."""
 
     def answer(t: pa.Table) -> pa.Table:
+        if t.column("owner")[0].as_py() < 0:  # a block's message to itself
+            return t.rename_columns(["block", "owner", "bits"])
         ranks, docs, counts, datas, n_docs = [], [], [], [], 0
         for m in t.column("items").to_pylist():
             rank, doc, count, data = own.unbundle(m)
@@ -278,7 +285,7 @@ def earlier(asked: DataFrame, length: int) -> DataFrame:
         start = np.cumsum(size) - size
         wanted = between(start, start + count, len(data))
         at, group = groups(data, wanted, length)
-        who = place[doc][np.searchsorted(start, at, side="right") - 1]
+        who = np.repeat(place[doc].astype(np.int32), size)[at]
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         hit = np.zeros(len(data), dtype=bool)
         hit[at] = who > np.minimum.reduceat(who, heads)[group]
@@ -290,8 +297,8 @@ def earlier(asked: DataFrame, length: int) -> DataFrame:
     return asked.groupBy("owner").applyInArrow(answer, own.ANSWER)
 
 
-def questions(docs: DataFrame, length: int, block_bytes: int, many: int, *keep: str) -> tuple[DataFrame, list[DataFrame], tuple[int, int]]:
-    """The blocks, the answers to both questions, and the numbers of owners."""
+def questions(docs: DataFrame, length: int, block_bytes: int, many: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and the answers to both questions."""
     blocks, n = own.blocks_of(docs, block_bytes, *keep)
     n_owners = n, 4 * n  # strings that may repeat are several times as long as the texts they stand in
 
@@ -300,28 +307,32 @@ def questions(docs: DataFrame, length: int, block_bytes: int, many: int, *keep:
 
     def second_ask(block: int, t: pa.Table, answered: list) -> pa.Table:
         b = Block(t, length)
-        key, start, count = b.items(b.local(answered[0], n_owners[0])[1], answered[0], n_owners[0])
+        again, first = b.local(answered[0], n_owners[0])
+        key, start, count = b.items(first, answered[0], n_owners[0])
         at = own.cuts(key, n_owners[1])
         owner = np.flatnonzero(np.diff(at))
         items = [message(b, start[at[i] : at[i + 1]], count[at[i] : at[i + 1]]) for i in owner]
-        return pa.table({"block": pa.array([block] * len(owner), pa.int32()), "owner": pa.array(owner, pa.int32()), "items": pa.array(items, pa.binary())})
+        # What it has found itself comes back with the answers, so no array is sorted twice.
+        gone = runs(covered(again, length, b.n))
+        items.append(own.bundle(*map(own.planes, (*gone, at, start, count))))
+        return pa.table({"block": pa.array([block] * len(items), pa.int32()), "owner": pa.array([*owner.tolist(), -1 - block], pa.int32()), "items": pa.array(items, pa.binary())})
 
     first = own.shared(own.with_answers(blocks, [], first_ask, own.ASK), many)
     second = earlier(own.with_answers(blocks, [first], second_ask, "block int, owner int, items binary"), length)
-    return blocks, [first, second], n_owners
+    return blocks, second
 
 
-def repeats(b: Block, answered: list[pa.Table], n_owners: tuple[int, int]) -> np.ndarray:
-    """After both answers: which bytes of a block stand in strings that start earlier too."""
-    again, first = b.local(answered[0], n_owners[0])
-    key, start, count = b.items(first, answered[0], n_owners[0])
-    at = own.cuts(key, n_owners[1])
-    hit = [again]
-    for owner, bits in zip(answered[1].column("owner").to_pylist(), answered[1].column("bits").to_pylist(), strict=True):
-        s, c = start[at[owner] : at[owner + 1]], count[at[owner] : at[owner + 1]]
-        strings = np.repeat(s - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        hit.append(strings[np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(strings)).astype(bool)])
-    return covered(np.concatenate(hit), b.length, b.n)
+def repeats(answered: pa.Table, length: int, n: int) -> np.ndarray:
+    """After all answers: which of a block's bytes stand in strings that start earlier too."""
+    owners, bits = answered.column("owner").to_pylist(), answered.column("bits").to_pylist()
+    lo, hi, at, start, count = (own.from_planes(x).astype(np.int64) for x in own.unbundle(bits[owners.index(min(owners))]))
+    hit = [np.zeros(0, np.int64)]
+    for owner, b in zip(owners, bits, strict=True):
+        if owner >= 0:
+            s, c = start[at[owner] : at[owner + 1]], count[at[owner] : at[owner + 1]]
+            strings = np.repeat(s - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            hit.append(strings[np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(strings)).astype(bool)])
+    return covered(np.concatenate(hit), length, n) | between(lo, hi, n)
 
 
 def removed_bytes(docs: DataFrame, length: int = 100, block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
@@ -329,39 +340,41 @@ def removed_bytes(docs: DataFrame, length: int = 100, block_bytes: int = own.BLO
 
     spans: the maximal removed runs as start and end byte.
     """
-    blocks, answered, n_owners = questions(docs, length, block_bytes, many)
+    blocks, answered = questions(docs, length, block_bytes, many)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(block: int, t: pa.Table, answered: list) -> pa.Table:
-        b = Block(t, length)
-        gone = repeats(b, answered, n_owners)
+        t, _ = own.ordered(t)
+        data, rows = flat(t.column("text"))
+        gone = repeats(answered[0], length, len(data))
         spans, kept, removed = [], [], []
-        for lo, hi in zip(b.rows, b.rows[1:], strict=False):
-            flags, text = gone[lo:hi], b.data[lo:hi]
+        for lo, hi in zip(rows, rows[1:], strict=False):
+            flags, text = gone[lo:hi], data[lo:hi]
             n = int(flags.sum())
             removed.append(n)
             kept.append((text[~flags] if n else text).tobytes())
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(*runs(flags), strict=True)] if n else [])
-        return pa.table({"doc_id": b.table.column("doc_id"), "n_bytes": pa.array(np.diff(b.rows), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": t.column("doc_id"), "n_bytes": pa.array(np.diff(rows), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
-    return own.with_answers(blocks, answered, remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return own.with_answers(blocks, [answered], remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def shortened(docs: DataFrame, length: int = 100, keep: str = "other", block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
     """doc_id, text and a column to keep: documents without repeats; a character that loses a byte goes as a whole. A null text becomes empty."""
-    blocks, answered, n_owners = questions(docs, length, block_bytes, many, keep)
+    blocks, answered = questions(docs, length, block_bytes, many, keep)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), blocks.schema[keep]])
 
     def shorten(block: int, t: pa.Table, answered: list) -> pa.Table:
-        b = Block(t, length)
-        gone = repeats(b, answered, n_owners)
+        t, _ = own.ordered(t)
+        data, rows = flat(t.column("text"))
+        gone = repeats(answered[0], length, len(data))
         texts = []
-        for lo, hi in zip(b.rows, b.rows[1:], strict=False):
-            flags, text = gone[lo:hi], b.data[lo:hi]
+        for lo, hi in zip(rows, rows[1:], strict=False):
+            flags, text = gone[lo:hi], data[lo:hi]
             if flags.any():
                 character = np.cumsum((text & 0xC0) != 0x80) - 1
                 text = text[(np.bincount(character, weights=flags) == 0)[character]]
             texts.append(text.tobytes().decode())
-        return pa.table({"doc_id": b.table.column("doc_id"), "text": pa.array(texts, pa.string()), keep: b.table.column(keep)})
+        return pa.table({"doc_id": t.column("doc_id"), "text": pa.array(texts, pa.string()), keep: t.column(keep)})
 
-    return own.with_answers(blocks, answered, shorten, schema)
+    return own.with_answers(blocks, [answered], shorten, schema)
