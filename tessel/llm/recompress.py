@@ -1,172 +1,500 @@
 """Substring deduplication by recompression.
 
-The words of a document are named; then rounds of recompression name runs of equal symbols and pairs of symbols. Names
-are functions of what they stand for, so they are global: every document that holds a phrase gives its inside the same
-symbols, whatever stands around it. Each symbol also knows its context, the words that its place in the parse depends
-on; any window of words that holds the context holds the symbol.
+Rounds of recompression turn each document into fewer and longer symbols, whose names Spark agrees on globally: words and
+runs of one word first, then, round by round, pairs of neighbours of which the first has a 0 and the second a 1 as a coin,
+a function of its name. Equal phrases so get equal symbols inside, whatever stands around them. Each symbol knows its
+context, the words that its place in the parse depends on: every window of words that holds the context holds the symbol.
 
-Spark then runs three rounds over blocks of documents (see owners.py):
+A symbol that only one place of the corpus has gets no name, and windows that hold its context can't repeat. So each round
+looks at less, and in the end all symbols of the windows left are shared. Then each window has an anchor, the longest
+symbol whose context it holds. Equal windows have equal anchors at equal places, so they are verified at their anchor:
+the symbol by its name, what stands left and right of it in the window word by word. Hashes route and sort, they decide
+nothing: names stand for one content each, as owners number the distinct contents themselves.
 
-1. Which symbols of the last round, with their context, occur in more than one document? A window that holds a symbol
-   of which there is no other cannot repeat; all other windows are candidates, those without a symbol too.
-2. Which candidate windows, by a 96-bit name of their words, start in a document with a smaller doc_id?
-3. Words that such windows cover go.
+Spark keeps each block of documents (some MB) as one row of words and numbers, written once to the shared checkpoint
+folder. For each round a block asks the owners of its distinct contents for their names (see owners.py for the exchange);
+a phrase that a third of all documents hold costs one entry for each block. Windows that a block holds several times are
+settled there first, and one of each kind is sent to the owner of its anchor, consecutive ones of one anchor together;
+windows whose anchor is a single word or a symbol of more than `many` blocks go to owners by a hash of the window instead.
 
 Defined cases: a null or blank text has no words; a text of fewer words than a window loses nothing; rows that share a
 doc_id don't remove each other's words; a null doc_id counts as larger than all others; columns beyond id and text
-aren't read. An empty table gives an empty result.
+aren't read; a text of any length is one block's, whose arrays take some 100 bytes for each word; an empty table gives an
+empty result.
 """
 
-import hashlib
-from itertools import compress
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import owners as own
-from .textarrays import U64, covered, flat, mix, prefix_sums, span_hash, word_bounds, word_names
+from .lineage import cut, slices
+from .textarrays import U64, between, covered, mix, runs, word_names
 
+#: Rounds that name pairs, after the one that names words and runs.
 ROUNDS = 4
-SECOND_BASE = 0xC2B2AE3D27D4EB4F
+STATE = "size long, doc_ids binary, n_words binary, vocabulary binary, words binary"
+ASK = "block long, owner int, asked binary"
+ANSWER = "block long, owner int, answer binary"
+#: In a name: the symbol is in several blocks, in very many blocks; then the round, the owner and the number.
+ELSEWHERE, OFTEN = U64(1 << 63), U64(1 << 62)
 
 
-def parse(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Symbols after one round of runs and the rounds of pairs: name, start, end, and the context's start and end (in words).
+class Numbers(dict):
+    """A number for each key that is asked for."""
 
-    first: where each document starts. A context beyond a document's edge means that no window holds it.
-    """
-    n = len(names)
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[first[first <= n]] = True
-    edge[n] = True
-    head = np.ones(n, dtype=bool)
-    head[1:] = (names[1:] != names[:-1]) | edge[1:n]
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of whole documents of about block_bytes of text: ids, numbers of words, distinct words, and the words as numbers of these."""
+
+    def block(rows: list[tuple], numbers: Numbers, size: int) -> pa.RecordBatch:
+        ids = pa.array([r[0] for r in rows], pa.int64())
+        data = [
+            own.bundle(np.asarray(ids.is_null()).tobytes(), np.asarray(ids.fill_null(0)).astype("<i8").tobytes()), own.bundle(own.planes(np.array([len(r[1]) for r in rows]))),
+            own.squeezed(b" ".join(numbers)), own.bundle(own.planes(np.concatenate([r[1] for r in rows]))),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], ["size", "doc_ids", "n_words", "vocabulary", "words"])
+
+    def run(batches):
+        rows, numbers, size = [], Numbers(), 0
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                words = (text or b"").split()
+                rows.append((doc_id, np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words))))
+                size += len(text or b"") + 64
+                if size >= block_bytes:
+                    yield block(rows, numbers, size)
+                    rows, numbers, size = [], Numbers(), 0
+        if rows:
+            yield block(rows, numbers, size)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, STATE).select(F.monotonically_increasing_id().alias("block"), "*")
+
+
+def runs_of_words(words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of one word within a document. edge: where a document starts or all end."""
+    head = np.ones(len(words), dtype=bool)
+    head[1:] = (words[1:] != words[:-1]) | edge[1:-1]
     start = np.flatnonzero(head)
-    end = np.concatenate([start[1:], [n]])
-    length = (end - start).astype(np.uint64)
-    name = np.where(length > 1, mix(names[start] + length * U64(0x8CB92BA72F3D8DD7)), names[start])
-    left, right = start - 1, end + 1
-    for k in range(rounds):
-        m = len(name)
-        if not m:
-            break
-        coin = (mix(name + U64(0x632BE59BD9B4E019 * (k + 1) & (2**64 - 1))) & U64(1)).astype(bool)
-        same = np.zeros(m, dtype=bool)  # the next symbol is of the same document
-        same[:-1] = ~edge[start[1:]]
-        pair = np.zeros(m, dtype=bool)
-        pair[:-1] = ~coin[:-1] & coin[1:] & same[:-1]
-        second = np.zeros(m, dtype=bool)
-        second[1:] = pair[:-1]
-        after, before = np.arange(m) + 1, np.arange(m) - 1
-        after[-1], before[0] = m - 1, 0
-        # A symbol that stays alone does so because of its neighbour: the context takes that in.
-        r = np.where(coin, right, np.where(same, np.maximum(right, right[after]), end + 1))
-        prior = np.concatenate([[False], same[:-1]])
-        l = np.where(~coin, left, np.where(prior, np.minimum(left, left[before]), start - 1))  # noqa: E741
-        r = np.where(pair, np.maximum(right, right[after]), r)
-        l = np.where(pair, np.minimum(left, left[after]), l)  # noqa: E741
-        r = np.where(~coin & ~pair & same, np.maximum(right, right[after]), r)
-        name = np.where(pair, mix(name * U64(0x9E3779B97F4A7C15) + name[after]), name)
-        end = np.where(pair, end[after], end)
-        keep = ~second
-        name, start, end, left, right = name[keep], start[keep], end[keep], l[keep], r[keep]
-    return name, start, end, left, right
-
-
-class Block:
-    """One block's documents as named words."""
-
-    def __init__(self, t: pa.Table, window: int):
-        self.table, self.rank = own.sorted_rows(t)
-        data, rows = flat(self.table.column("text"))
-        starts, ends, self.first = word_bounds(data, rows)
-        self.names = word_names(data, starts, ends)
-        self.n, self.window = len(starts), window
-        self.doc = np.repeat(np.arange(len(rows) - 1), np.diff(self.first))
-        self.sums = prefix_sums(self.names)
-        at = np.arange(max(0, self.n - window + 1))
-        self.valid = np.zeros(self.n, dtype=bool)
-        self.valid[: len(at)] = self.doc[at] == self.doc[at + window - 1] if len(at) else False
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the last round's symbols whose context fits a window: key, context's start and end."""
-        name, start, end, left, right = parse(self.names, self.first[:-1])
-        fits = (right - left <= self.window) & (left >= 0) & (right <= self.n)
-        fits[fits] &= self.doc[left[fits]] == self.doc[right[fits] - 1]
-        name, start, end, left, right = (x[fits] for x in (name, start, end, left, right))
-        key = span_hash(self.sums, left, right) + name * U64(0xA24BAED4963EE407) + ((start - left) * 64 + end - start).astype(np.uint64)
-        return mix(key), left, right
-
-    def candidates(self, answered: pa.Table, n_owners: int) -> np.ndarray:
-        """Starts of the windows all of whose anchors occur in several documents."""
-        key, left, right = self.anchors()
-        order = np.argsort(key)
-        k, docs = key[order], self.rank[self.doc[left[order]]]
-        first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-        at = np.flatnonzero(first)
-        if len(at):
-            several = np.maximum.reduceat(docs, at) != np.minimum.reduceat(docs, at)
-            shared = several | own.told(k[at], n_owners, answered)
-            alone = np.zeros(len(key), dtype=bool)
-            alone[order] = ~np.repeat(shared, np.diff(np.concatenate([at, [len(k)]])))
-            steps = np.zeros(self.n + 1, dtype=np.int32)
-            low = np.maximum(0, right[alone] - self.window)
-            np.add.at(steps, low, 1)
-            np.add.at(steps, left[alone] + 1, -1)
-            return np.flatnonzero(self.valid & (np.cumsum(steps[:-1]) == 0))
-        return np.flatnonzero(self.valid)
-
-    def named(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The windows' 96-bit names, each once: 64 bits, 32 bits, rank of the first document that has it; and for each window, the place of its name."""
-        a = span_hash(self.sums, at, at + self.window)
-        if not hasattr(self, "sums2"):
-            self.sums2 = prefix_sums(mix(self.names ^ U64(0x5851F42D4C957F2D)), SECOND_BASE)
-        b = span_hash(self.sums2, at, at + self.window, SECOND_BASE).astype(np.uint32)
-        order = np.argsort(a, kind="stable")
-        x, y = a[order], b[order]
-        if np.any((x[1:] == x[:-1]) & (y[1:] != y[:-1])):
-            order = np.lexsort((at, b, a))
-            x, y = a[order], b[order]
-        first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
-        place = np.empty(len(at), dtype=np.int64)
-        place[order] = np.cumsum(first) - 1
-        return x[first], y[first], self.rank[self.doc[at[order[first]]]], place
-
-
-def removed_words(docs: DataFrame, window: int = 13) -> DataFrame:
+    return start, np.concatenate([start[1:], [len(words)]]) if len(start) else start
+
+
+class Symbols:
+    """A level of the parse: names, first and end word, and the context's; only symbols that windows in question hold."""
+
+    def __init__(self, name, start, end, left, right):
+        self.name, self.start, self.end, self.left, self.right = name, start, end, left, right
+
+    def pick(self, which: np.ndarray) -> "Symbols":
+        return Symbols(self.name[which], self.start[which], self.end[which], self.left[which], self.right[which])
+
+
+def coins(name: np.ndarray, round_number: int) -> np.ndarray:
+    return (mix((name & ~(ELSEWHERE | OFTEN)) + U64(0x632BE59BD9B4E019 * round_number & (2**64 - 1))) & U64(1)).astype(bool)
+
+
+def pairs(s: Symbols, edge: np.ndarray, round_number: int) -> tuple[np.ndarray, Symbols]:
+    """Places of the symbols that begin a pair, and the symbols that stay alone, with their contexts."""
+    n = len(s.name)
+    one = coins(s.name, round_number)
+    near = np.zeros(n, dtype=bool)  # the next symbol follows at once, in the same document
+    near[:-1] = (s.end[:-1] == s.start[1:]) & ~edge[s.start[1:]]
+    pair = np.zeros(n, dtype=bool)
+    pair[:-1] = near[:-1] & ~one[:-1] & one[1:]
+    second = np.concatenate([[False], pair[:-1]])
+    # A 0 stays alone because of what follows, a 1 because of what stands before; the context takes that in. If it's
+    # unknown there, no window in question holds the context.
+    after, before = np.minimum(np.arange(n) + 1, n - 1), np.maximum(np.arange(n) - 1, 0)
+    alone = ~pair & ~second & np.where(one, np.concatenate([[False], near[:-1]]), near)
+    left = np.where(one, np.minimum(s.left, s.left[before]), s.left)
+    right = np.where(one, s.right, np.maximum(s.right, s.right[after]))
+    return np.flatnonzero(pair), Symbols(s.name, s.start, s.end, left, right).pick(alone)
+
+
+class Parse:
+    """A block's documents, parsed as far as names are known."""
+
+    def __init__(self, row: dict, window: int):
+        null, ids = own.unbundle(row["doc_ids"])
+        self.ids = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, bool))
+        self.rank = own.doc_ranks(self.ids)
+        self.n_words = own.from_planes(own.unbundle(row["n_words"])[0]).astype(np.int64)
+        self.vocabulary = own.spread(row["vocabulary"]).split()
+        self.words = own.from_planes(own.unbundle(row["words"])[0]).astype(np.int64)
+        self.n, self.window = len(self.words), window
+        self.first = np.concatenate([[0], np.cumsum(self.n_words)])
+        self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        self.edge = np.zeros(self.n + 1, dtype=bool)
+        self.edge[self.first] = True
+        # Windows in question, by start: all within a document; later those whose symbols are all shared. elsewhere: by other blocks.
+        self.open = np.zeros(self.n, dtype=bool)
+        ends = np.arange(self.n) + window
+        fits = ends <= self.n
+        self.open[fits] = self.doc[ends[fits] - 1] == self.doc[fits]
+        self.elsewhere = self.open.copy()
+        self.kinds: list[Symbols] = []  # symbols as each round has formed them
+        self.now: Symbols | None = None
+
+    def close(self, mask: np.ndarray, s: Symbols, which: np.ndarray) -> None:
+        """Takes the windows that hold these symbols' contexts out of the mask."""
+        left, right = s.left[which], s.right[which]
+        fits = right - left <= self.window
+        steps = np.zeros(self.n + 1, dtype=np.int32)
+        np.add.at(steps, np.maximum(right[fits] - self.window, 0), 1)
+        np.add.at(steps, left[fits] + 1, -1)
+        mask &= np.cumsum(steps[:-1]) == 0
+
+    def held(self, s: Symbols) -> np.ndarray:
+        """Which symbols' contexts some window in question holds."""
+        total = np.concatenate([[0], np.cumsum(self.open)])
+        out = (s.right - s.left <= self.window) & (s.left >= 0) & (s.right <= self.n)
+        some = np.flatnonzero(out)
+        low, high = np.maximum(s.right[some] - self.window, 0), s.left[some] + 1
+        out[some] = total[np.maximum(high, low)] > total[low]
+        return out
+
+    def word_question(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words and runs: owner keys (sorted), numbers of words, lengths of runs (1: the word), whether there are several."""
+        self.run_start, self.run_end = runs_of_words(self.words, self.edge)
+        size = self.run_end - self.run_start
+        long = size > 1
+        word_count = np.bincount(self.words, minlength=len(self.vocabulary))
+        both, self.run_kind, count = np.unique(self.words[self.run_start[long]] << 32 | size[long], return_inverse=True, return_counts=True)
+        word = np.concatenate([np.arange(len(self.vocabulary)), both >> 32])
+        length = np.concatenate([np.ones(len(self.vocabulary), np.int64), both & 0xFFFFFFFF])
+        sizes = np.fromiter(map(len, self.vocabulary), dtype=np.int64, count=len(self.vocabulary))
+        ends = np.cumsum(sizes + 1) - 1
+        key = mix(word_names(np.frombuffer(b" ".join(self.vocabulary), np.uint8), ends - sizes, ends)[word] + length.astype(np.uint64) * U64(0x8CB92BA72F3D8DD7))
+        order = np.argsort(key, kind="stable")
+        self.places = np.empty(len(order), dtype=np.int64)
+        self.places[order] = np.arange(len(order))
+        return key[order], word[order], length[order], (np.concatenate([word_count, count]) > 1)[order]
+
+    def learn_words(self, name: np.ndarray) -> None:
+        """name: for what word_question() has asked; 0 for what is nowhere else."""
+        name = name[self.places]
+        word, run = name[: len(self.vocabulary)], name[len(self.vocabulary) :]
+        self.word = word[self.words] if self.n else np.zeros(0, np.uint64)
+        at = np.arange(self.n)
+        single = Symbols(self.word, at, at + 1, at, at + 1)
+        self.close(self.open, single, self.word == 0)
+        self.close(self.elsewhere, single, (self.word & ELSEWHERE) == 0)
+        start, end = self.run_start, self.run_end
+        named = self.word[start]
+        long = np.flatnonzero(end - start > 1)
+        named[long] = run[self.run_kind]
+        # A run is maximal because of its neighbours; at a document's edge no window tells.
+        now = Symbols(named, start, end, np.where(self.edge[start], -1 - self.window, start - 1), np.where(self.edge[end], self.n + 1 + self.window, end + 1))
+        self.formed(now.pick(long))
+        self.now = now.pick((now.name != 0))
+        self.now = self.now.pick(self.held(self.now))
+
+    def formed(self, s: Symbols) -> None:
+        """New symbols with their names: windows that hold nameless ones are closed."""
+        self.close(self.open, s, s.name == 0)
+        self.close(self.elsewhere, s, (s.name & ELSEWHERE) == 0)
+        self.kinds.append(s.pick(s.name != 0))
+
+    def pair_question(self, round_number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs: owner keys (sorted), first and second name, whether there are several."""
+        s = self.now
+        at, self.alone = pairs(s, self.edge, round_number)
+        new = Symbols(np.zeros(len(at), np.uint64), s.start[at], s.end[at + 1], np.minimum(s.left[at], s.left[at + 1]), np.maximum(s.right[at], s.right[at + 1])) if len(at) else s.pick(at)
+        keep = self.held(new)
+        self.new, at = new.pick(keep), at[keep]
+        names, number = np.unique(s.name, return_inverse=True)
+        both, self.kind, count = np.unique(number[at] << 32 | number[at + 1] if len(at) else at, return_inverse=True, return_counts=True)
+        a, b = names[both >> 32], names[both & 0xFFFFFFFF]
+        key = mix(mix(a) + b)
+        order = np.argsort(key, kind="stable")
+        self.places = np.empty(len(order), dtype=np.int64)
+        self.places[order] = np.arange(len(order))
+        return key[order], a[order], b[order], (count > 1)[order]
+
+    def learn_pairs(self, name: np.ndarray) -> None:
+        self.new.name = name[self.places][self.kind] if len(self.kind) else np.zeros(0, np.uint64)
+        self.formed(self.new)
+        both, alone = self.kinds[-1], self.alone
+        order = np.argsort(np.concatenate([both.start, alone.start]), kind="stable")
+        now = Symbols(*(np.concatenate([getattr(both, k), getattr(alone, k)])[order] for k in ("name", "start", "end", "left", "right")))
+        self.now = now.pick(self.held(now))
+
+    def question(self, round_number: int, n_owners: int) -> Callable[[int, int], bytes]:
+        """Finds what a round asks; returns what packs a part of it."""
+        if round_number == 0:
+            key, word, length, several = self.word_question()
+            part = lambda i, j: own.bundle(b" ".join([self.vocabulary[k] for k in word[i:j].tolist()]), own.planes(length[i:j]), np.packbits(several[i:j]).tobytes())
+        else:
+            key, a, b, several = self.pair_question(round_number)
+            part = lambda i, j: own.bundle(own.planes(a[i:j]), own.planes(b[i:j]), np.packbits(several[i:j]).tobytes())
+        self.cuts = own.cuts(key, n_owners)
+        return part
+
+    def asked(self, round_number: int, n_owners: int) -> list[tuple[int, bytes]]:
+        """What the block asks in a round, by owner."""
+        part = self.question(round_number, n_owners)
+        return [(i, part(self.cuts[i], self.cuts[i + 1])) for i in np.flatnonzero(np.diff(self.cuts)).tolist()]
+
+    def learn(self, round_number: int, n_owners: int, answers: dict[int, bytes]) -> None:
+        """Takes in the names that a round has given."""
+        self.question(round_number, n_owners)
+        name = np.zeros(self.cuts[-1], dtype=np.uint64)
+        for owner, data in answers.items():
+            name[self.cuts[owner] : self.cuts[owner + 1]] = own.from_planes(own.unbundle(data)[0])
+        if round_number == 0:
+            self.learn_words(name)
+        else:
+            self.learn_pairs(name)
+
+    def windows(self) -> "Windows":
+        """The windows in question at their anchors: the longest symbol that each holds with its context, of these the one of the largest mixed name, then the leftmost."""
+        at = np.flatnonzero(self.open)
+        s = Symbols(*(np.concatenate([getattr(x, k) for x in self.kinds]) for k in ("name", "start", "end", "left", "right")))
+        s = s.pick(self.held(s))
+        s = s.pick(np.lexsort((-s.start, mix(s.name), s.end - s.start)))  # the best last
+        low = np.maximum(s.right - self.window, 0)
+        size = s.left + 1 - low
+        which = np.repeat(np.arange(len(size)), size)
+        best = np.full(self.n, -1)
+        best[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(which))] = which  # of several, the last one stays
+        best = best[at]
+        name, begin, end = np.zeros(len(at), np.uint64), at.copy(), at + 1
+        some = best >= 0
+        name[some], begin[some], end[some] = s.name[best[some]], s.start[best[some]], s.end[best[some]]
+        bare = np.flatnonzero(~some)  # no symbol but single words
+        if len(bare):
+            mixed, first = mix(self.word), at[bare]
+            top, place = mixed[first], first.copy()
+            for k in range(1, self.window):
+                better = mixed[first + k] > top
+                top, place = np.where(better, mixed[first + k], top), np.where(better, first + k, place)
+            name[bare], begin[bare], end[bare] = self.word[place], place, place + 1
+        return Windows(self.word, at, name, begin - at, end - begin, self.window)
+
+    def settled(self) -> tuple[np.ndarray, "Windows", np.ndarray, np.ndarray]:
+        """Starts of windows that an earlier document of this block holds. Of each kind of windows that other blocks may hold one,
+        of the smallest doc_id; and further ones of that doc_id: which of those they equal, and their starts."""
+        w = self.windows()
+        kind, rank = w.kinds(), self.rank[self.doc[w.at]]
+        order = np.lexsort((w.at, rank, kind))
+        first = order[np.concatenate([[True], kind[order][1:] != kind[order][:-1]])] if len(kind) else order
+        later = rank > rank[first][kind]
+        send = np.sort(first[self.elsewhere[w.at[first]]])
+        place = np.full(len(first), -1)
+        place[kind[send]] = np.arange(len(send))
+        more = np.flatnonzero(~later & (place[kind] >= 0))
+        more = more[send[place[kind[more]]] != more]
+        return w.at[later], w.pick(send), place[kind[more]], w.at[more]
+
+
+class Windows:
+    """Windows of words around their anchors. word: names of all words; at: starts; name, skip, size: the anchor's name, words before it and its length."""
+
+    def __init__(self, word, at, name, skip, size, window):
+        self.word, self.at, self.name, self.skip, self.size, self.window = word, at, name, skip, size, window
+
+    def pick(self, which: np.ndarray) -> "Windows":
+        return Windows(self.word, self.at[which], self.name[which], self.skip[which], self.size[which], self.window)
+
+    def hashes(self) -> np.ndarray:
+        """Of the anchor and the words beside it."""
+        h = mix(self.name + self.skip.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        for k in range(self.window):
+            beside = (k < self.skip) | (k >= self.skip + self.size)
+            h = np.where(beside, mix(h + self.word[self.at + k] + U64(k)), h)
+        return h
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which windows are equal in pairs: the anchor by its name and place, what stands beside it word by word."""
+        out = (self.name[i] == self.name[j]) & (self.skip[i] == self.skip[j])
+        for k in range(self.window):
+            beside = (k < self.skip[i]) | (k >= self.skip[i] + self.size[i])
+            out &= ~beside | (self.word[self.at[i] + k] == self.word[self.at[j] + k])
+        return out
+
+    def kinds(self) -> np.ndarray:
+        """A number for each kind of equal windows."""
+        n = len(self.at)
+        h = self.hashes()
+        order = np.argsort(h, kind="stable")
+        tie = h[order][1:] == h[order][:-1]
+        equal = np.zeros(max(0, n - 1), dtype=bool)
+        at = np.flatnonzero(tie)
+        equal[at] = self.same(order[at], order[at + 1])
+        if (tie & ~equal).any():  # one hash for several kinds: they are sorted by what they hold
+            columns = [np.where((k < self.skip) | (k >= self.skip + self.size), self.word[self.at + k], U64(0)) for k in range(self.window)]
+            order = np.lexsort((*columns, self.skip, self.name))
+            equal = self.same(order[:-1], order[1:])
+        out = np.empty(n, dtype=np.int64)
+        out[order] = np.cumsum(np.concatenate([[0], ~equal])) if n else 0
+        return out
+
+
+def names(asked: DataFrame, round_number: int, many: int) -> DataFrame:
+    """Owners number the distinct contents that are asked for, if more than one place has them; a name is 0 for all others."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        owner = t.column("owner")[0].as_py()
+        parts = [own.unbundle(x) for x in t.column("asked").to_pylist()]
+        if round_number == 0:
+            number: dict[tuple[bytes, int], int] = Numbers()
+            kind = [np.fromiter(map(number.__getitem__, zip(p[0].split(b" "), own.from_planes(p[1]).tolist(), strict=True)), dtype=np.int64) for p in parts]
+            content = sorted(number)  # names don't depend on the order of messages
+            place = np.empty(len(content), dtype=np.int64)
+            place[[number[c] for c in content]] = np.arange(len(content))
+            kind = [place[k] for k in kind]
+        else:
+            a, b = (np.concatenate([own.from_planes(p[k]) for p in parts]) for k in range(2))
+            order = np.lexsort((b, a))
+            head = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+            every = np.empty(len(a), dtype=np.int64)
+            every[order] = np.cumsum(head) - 1
+            kind = np.split(every, np.cumsum([len(own.from_planes(p[0])) for p in parts])[:-1])
+        blocks = np.bincount(np.concatenate(kind))
+        several = np.zeros(len(blocks), dtype=bool)
+        for k, p in zip(kind, parts, strict=True):
+            several[k[np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(k)).astype(bool)]] = True
+        name = U64(round_number + 1 << 58 | owner << 30) + np.arange(len(blocks), dtype=np.uint64)
+        name |= np.where(blocks > 1, ELSEWHERE, U64(0)) | np.where(blocks > many, OFTEN, U64(0))
+        name[(blocks < 2) & ~several] = 0
+        return pa.table({"block": t.column("block"), "owner": t.column("owner"), "answer": pa.array([own.bundle(own.planes(name[k])) for k in kind], pa.binary())})
+
+    return asked.groupBy("owner").applyInArrow(answer, ANSWER)
+
+
+def sent(p: Parse, w: Windows, n_owners: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    """The windows in the order in which they go out, where each owner's begin, and what each owner gets: runs of consecutive
+    windows of one anchor, as the anchor's name and the words beside it."""
+    alone = (w.size == 1) | ((w.name & OFTEN) != 0)
+    key = mix(w.name)
+    key[alone] = w.pick(alone).hashes()
+    begin = w.at + w.skip
+    head = np.ones(len(w.at), dtype=bool)
+    head[1:] = alone[1:] | alone[:-1] | (w.at[1:] != w.at[:-1] + 1) | (begin[1:] != begin[:-1]) | (w.size[1:] != w.size[:-1])
+    run = np.cumsum(head) - 1
+    order = np.argsort(key[head], kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    by = np.argsort(place[run], kind="stable")
+    owner = own.owner_of(key[head][order], n_owners)
+    first, count = np.flatnonzero(head)[order], np.bincount(run, minlength=len(order))[order]
+    run_cuts = np.searchsorted(owner, np.arange(n_owners + 1))
+    messages = []
+    for i in np.flatnonzero(np.diff(run_cuts)).tolist():
+        f, c = first[run_cuts[i] : run_cuts[i + 1]], count[run_cuts[i] : run_cuts[i + 1]]
+        docs, doc = np.unique(p.doc[w.at[f]], return_inverse=True)
+        beside, place_of = around(w.skip[f], w.size[f], c, w.window)
+        words = p.word[np.repeat(w.at[f] - place_of, c - 1 + w.window) + np.arange(len(beside))][beside]
+        parts = (doc, w.name[f], w.skip[f], w.size[f], c, words)
+        messages.append((i, own.bundle(p.rank[docs].astype("<u8").tobytes(), *map(own.planes, parts))))
+    return by, np.concatenate([[0], np.cumsum(count)])[run_cuts], messages
+
+
+def around(skip: np.ndarray, size: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of runs of windows, one run after another, those beside the anchors; and where each run begins."""
+    length = count - 1 + window
+    start = np.cumsum(length) - length
+    steps = np.zeros(length.sum() + 1, dtype=np.int32)
+    np.add.at(steps, start + skip, 1)
+    np.add.at(steps, start + skip + size, -1)
+    return np.cumsum(steps[:-1]) == 0, start
+
+
+def earlier(asked: DataFrame, window: int) -> DataFrame:
+    """For each window of each message, whether another block has an equal one of a smaller doc_id. A block's message to itself comes back as it is."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        if t.column("owner")[0].as_py() < 0:
+            return t.rename_columns(["block", "owner", "answer"])
+        ranks, columns, n_docs = [], [], 0
+        for m in t.column("asked").to_pylist():
+            rank, *parts = own.unbundle(m)
+            ranks.append(np.frombuffer(rank, dtype="<u8"))
+            doc, name, *parts = map(own.from_planes, parts)
+            columns.append((doc.astype(np.int64) + n_docs, name, *(x.astype(np.int64) for x in parts[:3]), parts[3]))
+            n_docs += len(ranks[-1])
+        rank = np.concatenate(ranks)
+        doc, name, skip, size, count, words = (np.concatenate(x) for x in zip(*columns, strict=True))
+        beside, start = around(skip, size, count, window)
+        word = np.zeros(len(beside), dtype=np.uint64)
+        word[beside] = words
+        run = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        w = Windows(word, start[run] + step, name[run], skip[run] - step, size[run], window)
+        kind, who = w.kinds(), rank[doc[run]]
+        least = np.full(kind.max() + 1, ~U64(0))
+        np.minimum.at(least, kind, who)
+        ends = np.cumsum([c[4].sum() for c in columns])
+        bits = [np.packbits(x).tobytes() for x in np.split(who > least[kind], ends[:-1])]
+        return pa.table({"block": t.column("block"), "owner": t.column("owner"), "answer": pa.array(bits, pa.binary())})
+
+    return asked.groupBy("owner").applyInArrow(answer, ANSWER)
+
+
+def blockwise(state: DataFrame, answered: list[DataFrame], f: Callable[[dict, list[dict[int, bytes]]], pa.RecordBatch], schema: str) -> DataFrame:
+    """f(a block's row, its answers of each round by owner) for each block."""
+    columns = [f"answers_{k}" for k in range(len(answered))]
+    for c, a in zip(columns, answered, strict=True):
+        state = state.join(a.groupBy("block").agg(F.collect_list(F.struct("owner", "answer")).alias(c)), "block", "left")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                yield f(row, [{x["owner"]: x["answer"] for x in row[c] or ()} for c in columns])
+
+    return state.mapInArrow(run, schema)
+
+
+def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOCK_BYTES, many: int = 256, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: documents without the words of windows that start in one with a smaller doc_id."""
-    n_blocks, n_owners = own.sizes(docs.sparkSession)
-    blocks = own.blocks_of(docs, n_blocks)
-
-    def first_ask(block: int, t: pa.Table, _: list) -> pa.Table:
-        return own.ask(block, n_owners, np.unique(Block(t, window).anchors()[0]))
-
-    def second_ask(block: int, t: pa.Table, answered: list) -> pa.Table:
-        b = Block(t, window)
-        x, y, rank, _ = b.named(b.candidates(answered[0], n_owners))
-        return own.ask(block, n_owners, x, y, rank)
-
-    def remove(block: int, t: pa.Table, answered: list) -> pa.Table:
-        b = Block(t, window)
-        at = b.candidates(answered[0], n_owners)
-        x, y, rank, place = b.named(at)
-        hit = own.told(x, n_owners, answered[1])[place] | (b.rank[b.doc[at]] > rank[place]) if len(at) else np.zeros(0, bool)
-        gone = covered(at[hit], window, b.n)
+    state = cut(packed(docs, block_bytes))
+    n_owners = max(1, -(-(state.agg(F.sum("size")).first()[0] or 0) // block_bytes))
+    state = state.repartition("block")  # one exchange, which all rounds share
+
+    def parsed(row: dict, answers: list[dict[int, bytes]]) -> Parse:
+        p = Parse(row, window)
+        for k, a in enumerate(answers):
+            p.learn(k, n_owners, a)
+        return p
+
+    def messages(row: dict, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(asked), pa.int64()), pa.array([i for i, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], ["block", "owner", "asked"])
+
+    def ask_names(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
+        return messages(row, parsed(row, answers).asked(len(answers), n_owners))
+
+    def ask_windows(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
+        p = parsed(row, answers)
+        later, w, kind, more = p.settled()
+        by, at, asked = sent(p, w, n_owners)
+        own_findings = own.bundle(*map(own.planes, (*runs(covered(later, window, p.n)), at, w.at[by], np.argsort(by)[kind] if len(kind) else kind, more)))
+        return messages(row, [*asked, (-1 - (row["block"] ^ row["block"] >> 33) % n_owners, own_findings)])
+
+    def remove(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
+        p, answer = Parse(row, window), dict(answers[0])
+        lo, hi, at, start, kind, more = (own.from_planes(x).astype(np.int64) for x in own.unbundle(answer.pop(min(answer))))
+        hit = np.zeros(len(start), dtype=bool)
+        for owner, bits in answer.items():
+            hit[at[owner] : at[owner + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[owner + 1] - at[owner]).astype(bool)
+        gone = between(lo, hi, p.n) | covered(np.concatenate([start[hit], more[hit[kind]]]), window, p.n)
         total = np.concatenate([[0], np.cumsum(gone)])
-        n_gone = total[b.first[1:]] - total[b.first[:-1]]
-        kept = []
-        for i, text in enumerate(b.table.column("text").to_pylist()):
-            words = (text or "").encode().split()
-            if n_gone[i]:
-                words = compress(words, (~gone[b.first[i] : b.first[i + 1]]).tolist())
-            kept.append(b" ".join(words).decode())
-        return pa.table({"doc_id": b.table.column("doc_id"), "n_words": pa.array(np.diff(b.first), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept_text": pa.array(kept, pa.string())})
-
-    first = own.answers(own.with_answers(blocks, [], first_ask, own.ASK))
-    second = own.answers(own.with_answers(blocks, [first], second_ask, own.ASK))
-    return own.with_answers(blocks, [first, second], remove, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+        n_gone = total[p.first[1:]] - total[p.first[:-1]]
+        words = np.array([*p.vocabulary, b""], dtype=object)[p.words[~gone]].tolist()
+        ends = np.cumsum(p.n_words - n_gone)
+        kept = [b" ".join(words[i:j]).decode() for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        return pa.RecordBatch.from_arrays([p.ids, pa.array(p.n_words), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    answered: list[DataFrame] = []
+    for k in range(rounds + 1):
+        answered.append(names(blockwise(state, answered, ask_names, ASK), k, many))
+    found = earlier(blockwise(state, answered, ask_windows, ASK), window)
+    return blockwise(state, [found], remove, "doc_id long, n_words long, n_removed long, kept_text string")

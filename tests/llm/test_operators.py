@@ -93,37 +93,85 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-def test_recompression(docs, empty):
-    for window in (13, 5):
-        first, expected = {}, []
-        for i, t, *_ in sorted(corpus(), key=lambda r: order(r[0])):
-            w = (t or "").encode().split()
-            for k in range(len(w) - window + 1):
-                first.setdefault(tuple(w[k : k + window]), order(i))
-        for i, t, *_ in corpus():
-            w, gone = (t or "").encode().split(), set()
-            for k in range(len(w) - window + 1):
-                if first[tuple(w[k : k + window])] < order(i):
-                    gone.update(range(k, k + window))
-            expected.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
-        assert sorted((tuple(r) for r in recompress.removed_words(docs, window).collect()), key=str) == sorted(expected, key=str)
+@pytest.mark.parametrize("window,block_bytes,many", [(13, 8 << 20, 256), (13, 3000, 256), (13, 3000, 1), (5, 2000, 2)])
+def test_recompression(docs, empty, window, block_bytes, many):
+    first, expected = {}, []
+    for i, t, *_ in sorted(corpus(), key=lambda r: order(r[0])):
+        w = (t or "").encode().split()
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), order(i))
+    for i, t, *_ in corpus():
+        w, gone = (t or "").encode().split(), set()
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < order(i):
+                gone.update(range(k, k + window))
+        expected.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    got = recompress.removed_words(docs, window, block_bytes, many).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(expected, key=str)
     assert recompress.removed_words(empty).count() == 0
 
 
-def test_parse_is_consistent():
-    """Equal windows hold equal symbols, whatever stands around them."""
-    rnd = np.random.default_rng(4)
-    for letters in (2, 5, 1000):
-        core = rnd.integers(0, letters, 40).astype(np.uint64)
-        seen = []
-        for _ in range(5):
-            s = np.concatenate([rnd.integers(0, letters, rnd.integers(0, 9)), core, rnd.integers(0, letters, rnd.integers(0, 9))]).astype(np.uint64)
-            at = next(k for k in range(len(s)) if (s[k : k + 40] == core).all())
-            name, start, end, left, right = recompress.parse(s, np.array([0]))
-            inside = (left >= at) & (right <= at + 40)
-            seen.append(sorted(zip(name[inside].tolist(), (start[inside] - at).tolist(), (end[inside] - at).tolist(), strict=True)))
-        assert all(x == seen[0] for x in seen)
-    assert len(seen[0]) > 3
+def parsed(spark, texts, window=13, owners=3):
+    """Each text as a block of its own, parsed to the last round."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks = {r.block: recompress.Parse(r.asDict(), window) for r in recompress.packed(docs, 1).collect()}
+    for k in range(recompress.ROUNDS + 1):
+        asked = [(b, o, x) for b, p in blocks.items() for o, x in p.asked(k, owners)]
+        got = recompress.names(spark.createDataFrame(asked, recompress.ASK), k, 256).collect()
+        for b, p in blocks.items():
+            p.learn(k, owners, {r.owner: bytes(r.answer) for r in got if r.block == b})
+    return [p for _, p in sorted(blocks.items())]
+
+
+@pytest.fixture(scope="module")
+def around_a_core(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    core = rnd.choices(words, k=30) + ["same"] * 5 + rnd.choices(words, k=30) + ["a", "b"] * 12
+    texts = [rnd.choices(words, k=rnd.randint(0, 40)) + core + rnd.choices(words, k=rnd.randint(0, 40)) for _ in range(5)]
+    return core, texts, parsed(spark, [" ".join(t) for t in texts])
+
+
+def test_names_are_global(around_a_core):
+    _, texts, blocks = around_a_core
+    content, name = {}, {}
+    for t, p in zip(texts, blocks, strict=True):
+        for s in p.kinds:
+            for n, i, j in zip(s.name.tolist(), s.start.tolist(), s.end.tolist(), strict=True):
+                assert content.setdefault(n, tuple(t[i:j])) == tuple(t[i:j]) and name.setdefault(tuple(t[i:j]), n) == n
+    assert ("same",) * 5 in name and max(map(len, name)) >= 4
+
+
+def test_equal_windows_have_equal_anchors(around_a_core):
+    core, texts, blocks = around_a_core
+    seen = []
+    for t, p in zip(texts, blocks, strict=True):
+        at = next(i for i in range(len(t)) if t[i : i + len(core)] == core)
+        w = p.windows()
+        inside = (w.at >= at) & (w.at + 13 <= at + len(core))
+        assert inside.sum() == len(core) - 12  # all of the core's windows are in question
+        seen.append((w.name[inside].tolist(), w.skip[inside].tolist(), w.size[inside].tolist()))
+    assert all(x == seen[0] for x in seen)
+    assert np.mean(np.array(seen[0][2]) > 1) > 0.9
+
+
+def test_windows_are_verified_at_their_anchors(around_a_core, monkeypatch):
+    """An anchor counts by its name alone, what stands beside it by its words; equal hashes decide nothing."""
+    _, _, blocks = around_a_core
+    w = blocks[0].windows()
+    kind = w.kinds()
+    n, skip, size = len(kind), w.skip, w.size
+    assert 0 < kind.max() + 1 < n  # the core's last part repeats within itself
+    flat = np.concatenate([w.word[a : a + 13] for a in w.at])
+    apart = recompress.Windows(flat, np.arange(n) * 13, w.name, skip, size, 13)
+    same_kinds = lambda x: len(set(zip(kind.tolist(), x.tolist(), strict=True))) == kind.max() + 1 == x.max() + 1
+    assert same_kinds(apart.kinds())
+    under = (np.arange(n * 13) % 13 >= np.repeat(skip, 13)) & (np.arange(n * 13) % 13 < np.repeat(skip + size, 13))
+    assert same_kinds(recompress.Windows(np.where(under, np.uint64(7), flat), apart.at, w.name, skip, size, 13).kinds())
+    one_name = recompress.Windows(np.where(under, np.uint64(7), flat), apart.at, np.ones(n, np.uint64), skip, size, 13)
+    assert one_name.kinds().max() <= kind.max()
+    monkeypatch.setattr(recompress.Windows, "hashes", lambda self: np.zeros(len(self.at), np.uint64))
+    assert same_kinds(apart.kinds())
 
 
 def test_suffix_array():
