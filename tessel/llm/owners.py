@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 ASK = "block int, owner int, keys binary"
 ANSWER = "block int, owner int, bits binary"
-_codec = pa.Codec("zstd", 1)
+_codec = pa.Codec("zstd", 3)
 
 
 def blocks_of(docs: DataFrame, block_bytes: int, *keep: str) -> tuple[DataFrame, int]:

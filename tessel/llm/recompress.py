@@ -11,8 +11,7 @@ symbol whose context it holds. Equal windows have equal anchors at equal places,
 the symbol by its name, what stands left and right of it in the window word by word. Hashes route and sort, they decide
 nothing: names stand for one content each, as owners number the distinct contents themselves.
 
-Spark keeps each block of documents (some MB) as one row of words and numbers, written once to the shared checkpoint
-folder. For each round a block asks the owners of its distinct contents for their names (see owners.py for the exchange);
+Each block of documents (some MB) is one row of words and numbers, shuffled once. For each round a block asks the owners of its distinct contents for their names (see owners.py for the exchange);
 a phrase that a third of all documents hold costs one entry for each block. Windows that a block holds several times are
 settled there first, and one of each kind is sent to the owner of its anchor, consecutive ones of one anchor together;
 windows whose anchor is a single word or a symbol of more than `many` blocks go to owners by a hash of the window instead.
@@ -24,6 +23,7 @@ empty result.
 """
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import owners as own
-from .lineage import cut, slices
+from .lineage import slices
 from .textarrays import U64, between, covered, mix, runs, word_names
 
 #: Rounds that name pairs, after the one that names words and runs.
 ROUNDS = 4
+#: Before this round the symbols and windows that are left are put aside, so that later rounds don't begin with the words.
+CARRY = 2
 STATE = "size long, doc_ids binary, n_words binary, vocabulary binary, words binary"
 ASK = "block long, owner int, asked binary"
 ANSWER = "block long, owner int, answer binary"
@@ -51,6 +53,16 @@ class Numbers(dict):
         return n
 
 
+def in_halves(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, of which many sequences repeat."""
+    return own.bundle((x & 0xFFFF).astype("<u2").tobytes(), (x >> 16).astype("<u2").tobytes())
+
+
+def from_halves(data: bytes) -> np.ndarray:
+    low, high = (np.frombuffer(x, "<u2").astype(np.int64) for x in own.unbundle(data))
+    return high << 16 | low
+
+
 def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of whole documents of about block_bytes of text: ids, numbers of words, distinct words, and the words as numbers of these."""
 
@@ -58,7 +70,7 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
         ids = pa.array([r[0] for r in rows], pa.int64())
         data = [
             own.bundle(np.asarray(ids.is_null()).tobytes(), np.asarray(ids.fill_null(0)).astype("<i8").tobytes()), own.bundle(own.planes(np.array([len(r[1]) for r in rows]))),
-            own.squeezed(b" ".join(numbers)), own.bundle(own.planes(np.concatenate([r[1] for r in rows]))),
+            own.squeezed(b" ".join(numbers)), in_halves(np.concatenate([r[1] for r in rows])),
         ]
         return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], ["size", "doc_ids", "n_words", "vocabulary", "words"])
 
@@ -76,6 +88,8 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
             yield block(rows, numbers, size)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # In this order a task that is run again makes the same blocks, whatever order its rows come in.
+    rows = rows.sortWithinPartitions(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "text")
     return rows.mapInArrow(run, STATE).select(F.monotonically_increasing_id().alias("block"), "*")
 
 
@@ -83,8 +97,8 @@ def runs_of_words(words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
     """Starts and ends of the maximal runs of one word within a document. edge: where a document starts or all end."""
     head = np.ones(len(words), dtype=bool)
     head[1:] = (words[1:] != words[:-1]) | edge[1:-1]
-    start = np.flatnonzero(head)
-    return start, np.concatenate([start[1:], [len(words)]]) if len(start) else start
+    start = np.flatnonzero(head).astype(np.int32)
+    return start, np.append(start[1:], np.int32(len(words))) if len(start) else start
 
 
 class Symbols:
@@ -119,30 +133,63 @@ def pairs(s: Symbols, edge: np.ndarray, round_number: int) -> tuple[np.ndarray,
     return np.flatnonzero(pair), Symbols(s.name, s.start, s.end, left, right).pick(alone)
 
 
+def route(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Owner keys of pairs of names."""
+    return mix(mix(a) + b)
+
+
 class Parse:
     """A block's documents, parsed as far as names are known."""
 
     def __init__(self, row: dict, window: int):
-        null, ids = own.unbundle(row["doc_ids"])
-        self.ids = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, bool))
-        self.rank = own.doc_ranks(self.ids)
-        self.n_words = own.from_planes(own.unbundle(row["n_words"])[0]).astype(np.int64)
+        self.heads = row["doc_ids"], row["n_words"]
         self.vocabulary = own.spread(row["vocabulary"]).split()
-        self.words = own.from_planes(own.unbundle(row["words"])[0]).astype(np.int64)
-        self.n, self.window = len(self.words), window
-        self.first = np.concatenate([[0], np.cumsum(self.n_words)])
-        self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
-        self.edge = np.zeros(self.n + 1, dtype=bool)
-        self.edge[self.first] = True
+        self.words = from_halves(row["words"])
+        self._documents(window, len(self.words))
         # Windows in question, by start: all within a document; later those whose symbols are all shared. elsewhere: by other blocks.
         self.open = np.zeros(self.n, dtype=bool)
-        ends = np.arange(self.n) + window
-        fits = ends <= self.n
-        self.open[fits] = self.doc[ends[fits] - 1] == self.doc[fits]
+        ends = np.arange(window, self.n + 1)
+        self.open[: len(ends)] = self.doc[ends - 1] == self.doc[: len(ends)]
         self.elsewhere = self.open.copy()
         self.kinds: list[Symbols] = []  # symbols as each round has formed them
         self.now: Symbols | None = None
 
+    def _documents(self, window: int, n: int) -> None:
+        null, ids = own.unbundle(self.heads[0])
+        self.ids = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, bool))
+        self.rank = own.doc_ranks(self.ids)
+        self.n_words = own.from_planes(own.unbundle(self.heads[1])[0]).astype(np.int64)
+        self.n, self.window = n, window
+        self.first = np.concatenate([[0], np.cumsum(self.n_words)])
+        self.doc = np.repeat(np.arange(len(self.n_words), dtype=np.int32), self.n_words)
+        self.edge = np.zeros(n + 1, dtype=bool)
+        self.edge[self.first] = True
+
+    def carried(self) -> bytes:
+        """What later rounds need: the symbols and windows left, far less than the words."""
+        parts = [*self.heads, self.n.to_bytes(8, "little"), np.packbits(self.open).tobytes(), np.packbits(self.elsewhere).tobytes()]
+        for s in (self.now, *self.kinds[:-1]):  # the last kind is among the symbols of now
+            s = s.pick(self.held(s))
+            parts += [own.planes(s.name), own.planes(np.diff(s.start, prepend=0)), own.planes(s.end - s.start), own.planes(s.start - s.left), own.planes(s.right - s.end)]
+        return own.bundle(*parts)
+
+    @classmethod
+    def resumed(cls, data: bytes, window: int) -> "Parse":
+        p = cls.__new__(cls)
+        parts = own.unbundle(data)
+        p.heads = parts[0], parts[1]
+        p._documents(window, int.from_bytes(parts[2], "little"))
+        p.open, p.elsewhere = (np.unpackbits(np.frombuffer(x, np.uint8), count=p.n).astype(bool) for x in parts[3:5])
+        symbols = []
+        for i in range(5, len(parts), 5):
+            name, step, size, left, right = map(own.from_planes, parts[i : i + 5])
+            start = np.cumsum(step.astype(np.int32), dtype=np.int32)
+            end = start + size.astype(np.int32)
+            symbols.append(Symbols(name, start, end, start - left.astype(np.int32), end + right.astype(np.int32)))
+        p.now, *p.kinds = symbols
+        p.kinds.append(p.now.pick((p.now.name >> U64(58) & U64(15)) == CARRY))  # names tell their round, counted from 1
+        return p
+
     def close(self, mask: np.ndarray, s: Symbols, which: np.ndarray) -> None:
         """Takes the windows that hold these symbols' contexts out of the mask."""
         left, right = s.left[which], s.right[which]
@@ -183,19 +230,24 @@ class Parse:
         name = name[self.places]
         word, run = name[: len(self.vocabulary)], name[len(self.vocabulary) :]
         self.word = word[self.words] if self.n else np.zeros(0, np.uint64)
-        at = np.arange(self.n)
+        if self.now is not None:  # resumed: only the words' names were missing
+            return
+        at = np.arange(self.n, dtype=np.int32)
         single = Symbols(self.word, at, at + 1, at, at + 1)
         self.close(self.open, single, self.word == 0)
         self.close(self.elsewhere, single, (self.word & ELSEWHERE) == 0)
         start, end = self.run_start, self.run_end
-        named = self.word[start]
-        long = np.flatnonzero(end - start > 1)
-        named[long] = run[self.run_kind]
+        long = end - start > 1
         # A run is maximal because of its neighbours; at a document's edge no window tells.
-        now = Symbols(named, start, end, np.where(self.edge[start], -1 - self.window, start - 1), np.where(self.edge[end], self.n + 1 + self.window, end + 1))
-        self.formed(now.pick(long))
-        self.now = now.pick((now.name != 0))
-        self.now = self.now.pick(self.held(self.now))
+        left, right = np.where(self.edge[start], start - 1 - self.window, start - 1), np.where(self.edge[end], end + 1 + self.window, end + 1)
+        s = Symbols(run[self.run_kind], *(x[long] for x in (start, end, left, right)))
+        self.formed(s)
+        total = np.concatenate([[0], np.cumsum(self.open, dtype=np.int32)])
+        keep = (self.word[start] != 0) & (total[start] > total[np.maximum(end + 1 - self.window, 0)])  # in a window that goes on at both sides
+        named = self.word[start]
+        named[long] = s.name
+        now = Symbols(*(x[keep] for x in (named, start, end, left, right)))
+        self.now = now.pick((now.name != 0) & self.held(now))
 
     def formed(self, s: Symbols) -> None:
         """New symbols with their names: windows that hold nameless ones are closed."""
@@ -210,17 +262,21 @@ class Parse:
         new = Symbols(np.zeros(len(at), np.uint64), s.start[at], s.end[at + 1], np.minimum(s.left[at], s.left[at + 1]), np.maximum(s.right[at], s.right[at + 1])) if len(at) else s.pick(at)
         keep = self.held(new)
         self.new, at = new.pick(keep), at[keep]
-        names, number = np.unique(s.name, return_inverse=True)
-        both, self.kind, count = np.unique(number[at] << 32 | number[at + 1] if len(at) else at, return_inverse=True, return_counts=True)
-        a, b = names[both >> 32], names[both & 0xFFFFFFFF]
-        key = mix(mix(a) + b)
-        order = np.argsort(key, kind="stable")
-        self.places = np.empty(len(order), dtype=np.int64)
-        self.places[order] = np.arange(len(order))
-        return key[order], a[order], b[order], (count > 1)[order]
+        a, b = s.name[at], s.name[at + 1] if len(at) else s.name[at]
+        key = route(a, b)
+        order = np.argsort(key)
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        if (~same & (key[order][1:] == key[order][:-1])).any():  # one key for several pairs
+            order = np.lexsort((b, a, key))
+            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        head = np.concatenate([[True], ~same]) if len(at) else np.zeros(0, bool)
+        self.kind = np.empty(len(at), dtype=np.int64)
+        self.kind[order] = np.cumsum(head) - 1
+        first = order[head]
+        return key[first], a[first], b[first], np.bincount(self.kind, minlength=len(first)) > 1
 
     def learn_pairs(self, name: np.ndarray) -> None:
-        self.new.name = name[self.places][self.kind] if len(self.kind) else np.zeros(0, np.uint64)
+        self.new.name = name[self.kind]
         self.formed(self.new)
         both, alone = self.kinds[-1], self.alone
         order = np.argsort(np.concatenate([both.start, alone.start]), kind="stable")
@@ -231,7 +287,7 @@ class Parse:
         """Finds what a round asks; returns what packs a part of it."""
         if round_number == 0:
             key, word, length, several = self.word_question()
-            part = lambda i, j: own.bundle(b" ".join([self.vocabulary[k] for k in word[i:j].tolist()]), own.planes(length[i:j]), np.packbits(several[i:j]).tobytes())
+            part = lambda i, j: own.bundle(b"\n".join([self.vocabulary[k] if n == 1 else b"%b %d" % (self.vocabulary[k], n) for k, n in zip(word[i:j].tolist(), length[i:j].tolist(), strict=True)]), np.packbits(several[i:j]).tobytes())
         else:
             key, a, b, several = self.pair_question(round_number)
             part = lambda i, j: own.bundle(own.planes(a[i:j]), own.planes(b[i:j]), np.packbits(several[i:j]).tobytes())
@@ -254,12 +310,18 @@ class Parse:
         else:
             self.learn_pairs(name)
 
+    def with_words(self, row: dict, answers: dict[int, bytes], n_owners: int) -> None:
+        """Gives a resumed parse its words' names."""
+        self.vocabulary, self.words = own.spread(row["vocabulary"]).split(), from_halves(row["words"])
+        self.learn(0, n_owners, answers)
+
     def windows(self) -> "Windows":
         """The windows in question at their anchors: the longest symbol that each holds with its context, of these the one of the largest mixed name, then the leftmost."""
         at = np.flatnonzero(self.open)
         s = Symbols(*(np.concatenate([getattr(x, k) for x in self.kinds]) for k in ("name", "start", "end", "left", "right")))
         s = s.pick(self.held(s))
-        s = s.pick(np.lexsort((-s.start, mix(s.name), s.end - s.start)))  # the best last
+        key = ((s.end - s.start).astype(np.uint64) << U64(58)) | mix(s.name) >> U64(6)
+        s = s.pick(len(key) - 1 - np.argsort(key[::-1], kind="stable"))  # by length, then mixed name, then from right to left: the best last
         low = np.maximum(s.right - self.window, 0)
         size = s.left + 1 - low
         which = np.repeat(np.arange(len(size)), size)
@@ -284,8 +346,8 @@ class Parse:
         of the smallest doc_id; and further ones of that doc_id: which of those they equal, and their starts."""
         w = self.windows()
         kind, rank = w.kinds(), self.rank[self.doc[w.at]]
-        order = np.lexsort((w.at, rank, kind))
-        first = order[np.concatenate([[True], kind[order][1:] != kind[order][:-1]])] if len(kind) else order
+        first = np.full(kind.max(initial=-1) + 1, len(kind))
+        np.minimum.at(first, kind, np.arange(len(kind)))  # documents come in the order of their ids
         later = rank > rank[first][kind]
         send = np.sort(first[self.elsewhere[w.at[first]]])
         place = np.full(len(first), -1)
@@ -324,7 +386,7 @@ class Windows:
         """A number for each kind of equal windows."""
         n = len(self.at)
         h = self.hashes()
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         tie = h[order][1:] == h[order][:-1]
         equal = np.zeros(max(0, n - 1), dtype=bool)
         at = np.flatnonzero(tie)
@@ -343,14 +405,11 @@ def names(asked: DataFrame, round_number: int, many: int) -> DataFrame:
 
     def answer(t: pa.Table) -> pa.Table:
         owner = t.column("owner")[0].as_py()
+        t = t.sort_by("block")  # names don't depend on the order of messages
         parts = [own.unbundle(x) for x in t.column("asked").to_pylist()]
-        if round_number == 0:
-            number: dict[tuple[bytes, int], int] = Numbers()
-            kind = [np.fromiter(map(number.__getitem__, zip(p[0].split(b" "), own.from_planes(p[1]).tolist(), strict=True)), dtype=np.int64) for p in parts]
-            content = sorted(number)  # names don't depend on the order of messages
-            place = np.empty(len(content), dtype=np.int64)
-            place[[number[c] for c in content]] = np.arange(len(content))
-            kind = [place[k] for k in kind]
+        if round_number == 0:  # a word, or a word and the length of its run
+            number = Numbers().__getitem__
+            kind = [np.fromiter(map(number, p[0].split(b"\n")), dtype=np.int64) for p in parts]
         else:
             a, b = (np.concatenate([own.from_planes(p[k]) for p in parts]) for k in range(2))
             order = np.lexsort((b, a))
@@ -361,7 +420,7 @@ def names(asked: DataFrame, round_number: int, many: int) -> DataFrame:
         blocks = np.bincount(np.concatenate(kind))
         several = np.zeros(len(blocks), dtype=bool)
         for k, p in zip(kind, parts, strict=True):
-            several[k[np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(k)).astype(bool)]] = True
+            several[k[np.unpackbits(np.frombuffer(p[-1], np.uint8), count=len(k)).astype(bool)]] = True
         name = U64(round_number + 1 << 58 | owner << 30) + np.arange(len(blocks), dtype=np.uint64)
         name |= np.where(blocks > 1, ELSEWHERE, U64(0)) | np.where(blocks > many, OFTEN, U64(0))
         name[(blocks < 2) & ~several] = 0
@@ -370,9 +429,16 @@ def names(asked: DataFrame, round_number: int, many: int) -> DataFrame:
     return asked.groupBy("owner").applyInArrow(answer, ANSWER)
 
 
-def sent(p: Parse, w: Windows, n_owners: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-    """The windows in the order in which they go out, where each owner's begin, and what each owner gets: runs of consecutive
-    windows of one anchor, as the anchor's name and the words beside it."""
+class Sent(NamedTuple):
+    order: np.ndarray  # the windows, as they go out
+    cuts: np.ndarray  # where each owner's begin
+    first: np.ndarray  # runs of consecutive windows, as they go out: start of the first, and how many
+    count: np.ndarray
+    messages: list[tuple[int, bytes]]  # what each owner gets
+
+
+def sent(p: Parse, w: Windows, n_owners: int) -> Sent:
+    """What goes to owners of windows: runs of consecutive ones of one anchor, as the anchor's name and the words beside it."""
     alone = (w.size == 1) | ((w.name & OFTEN) != 0)
     key = mix(w.name)
     key[alone] = w.pick(alone).hashes()
@@ -380,22 +446,20 @@ def sent(p: Parse, w: Windows, n_owners: int) -> tuple[np.ndarray, np.ndarray, l
     head = np.ones(len(w.at), dtype=bool)
     head[1:] = alone[1:] | alone[:-1] | (w.at[1:] != w.at[:-1] + 1) | (begin[1:] != begin[:-1]) | (w.size[1:] != w.size[:-1])
     run = np.cumsum(head) - 1
-    order = np.argsort(key[head], kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    by = np.argsort(place[run], kind="stable")
-    owner = own.owner_of(key[head][order], n_owners)
-    first, count = np.flatnonzero(head)[order], np.bincount(run, minlength=len(order))[order]
-    run_cuts = np.searchsorted(owner, np.arange(n_owners + 1))
+    owner = own.owner_of(key[head], n_owners)
+    by = np.argsort(owner, kind="stable")  # of one owner, in order of position
+    place = np.empty(len(by), dtype=np.int64)
+    place[by] = np.arange(len(by))
+    first, count = np.flatnonzero(head)[by], np.bincount(run, minlength=len(by))[by]
+    run_cuts = np.searchsorted(owner[by], np.arange(n_owners + 1))
     messages = []
     for i in np.flatnonzero(np.diff(run_cuts)).tolist():
         f, c = first[run_cuts[i] : run_cuts[i + 1]], count[run_cuts[i] : run_cuts[i + 1]]
         docs, doc = np.unique(p.doc[w.at[f]], return_inverse=True)
-        beside, place_of = around(w.skip[f], w.size[f], c, w.window)
-        words = p.word[np.repeat(w.at[f] - place_of, c - 1 + w.window) + np.arange(len(beside))][beside]
-        parts = (doc, w.name[f], w.skip[f], w.size[f], c, words)
-        messages.append((i, own.bundle(p.rank[docs].astype("<u8").tobytes(), *map(own.planes, parts))))
-    return by, np.concatenate([[0], np.cumsum(count)])[run_cuts], messages
+        beside, start = around(w.skip[f], w.size[f], c, w.window)
+        words = p.word[np.repeat(w.at[f] - start, c - 1 + w.window) + np.arange(len(beside))][beside]
+        messages.append((i, own.bundle(p.rank[docs].astype("<u8").tobytes(), *map(own.planes, (doc, w.name[f], w.skip[f], w.size[f], c, words)))))
+    return Sent(np.argsort(place[run], kind="stable"), np.concatenate([[0], np.cumsum(count)])[run_cuts], w.at[first], count, messages)
 
 
 def around(skip: np.ndarray, size: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -443,7 +507,8 @@ def blockwise(state: DataFrame, answered: list[DataFrame], f: Callable[[dict, li
     """f(a block's row, its answers of each round by owner) for each block."""
     columns = [f"answers_{k}" for k in range(len(answered))]
     for c, a in zip(columns, answered, strict=True):
-        state = state.join(a.groupBy("block").agg(F.collect_list(F.struct("owner", "answer")).alias(c)), "block", "left")
+        a = a.groupBy("block").agg(F.collect_list(F.struct("owner", "answer")).alias(c))
+        state = state.join(a, "block", "left")
 
     def run(batches):
         for b in batches:
@@ -454,34 +519,51 @@ def blockwise(state: DataFrame, answered: list[DataFrame], f: Callable[[dict, li
     return state.mapInArrow(run, schema)
 
 
-def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOCK_BYTES, many: int = 256, rounds: int = ROUNDS) -> DataFrame:
+def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: documents without the words of windows that start in one with a smaller doc_id."""
-    state = cut(packed(docs, block_bytes))
-    n_owners = max(1, -(-(state.agg(F.sum("size")).first()[0] or 0) // block_bytes))
-    state = state.repartition("block")  # one exchange, which all rounds share
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    n_owners = max(1, -(-size // block_bytes))
+    state = packed(docs, block_bytes).repartition("block")  # one exchange, which all rounds share
 
     def parsed(row: dict, answers: list[dict[int, bytes]]) -> Parse:
+        """From a block's words and the answers of all rounds."""
         p = Parse(row, window)
         for k, a in enumerate(answers):
             p.learn(k, n_owners, a)
         return p
 
+    def carry(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([parsed(row, answers).carried()], pa.binary())], ["block", "carried"])
+
+    def resumed(row: dict, answers: list[dict[int, bytes]]) -> Parse:
+        """From what a block has carried along, and the answers since."""
+        p = Parse.resumed(row["carried"], window)
+        for k, a in enumerate(answers, CARRY):
+            p.learn(k, n_owners, a)
+        return p
+
     def messages(row: dict, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(asked), pa.int64()), pa.array([i for i, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], ["block", "owner", "asked"])
 
-    def ask_names(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
-        return messages(row, parsed(row, answers).asked(len(answers), n_owners))
+    def ask_names(k: int, start: Callable[[dict, list[dict[int, bytes]]], Parse]):
+        return lambda row, answers: messages(row, start(row, answers).asked(k, n_owners))
 
     def ask_windows(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
-        p = parsed(row, answers)
+        p = resumed(row, answers[1:])
+        p.with_words(row, answers[0], n_owners)
         later, w, kind, more = p.settled()
-        by, at, asked = sent(p, w, n_owners)
-        own_findings = own.bundle(*map(own.planes, (*runs(covered(later, window, p.n)), at, w.at[by], np.argsort(by)[kind] if len(kind) else kind, more)))
-        return messages(row, [*asked, (-1 - (row["block"] ^ row["block"] >> 33) % n_owners, own_findings)])
+        out = sent(p, w, n_owners)
+        place = np.empty(len(w.at), dtype=np.int64)
+        place[out.order] = np.arange(len(w.at))
+        # What it has found itself comes back with the answers, so that nothing is parsed again.
+        findings = (*runs(covered(later, window, p.n)), out.cuts, np.diff(out.first, prepend=0), out.count, place[kind], more)
+        return messages(row, [*out.messages, (-1 - (row["block"] ^ row["block"] >> 33) % n_owners, own.bundle(*map(own.planes, findings)))])
 
     def remove(row: dict, answers: list[dict[int, bytes]]) -> pa.RecordBatch:
         p, answer = Parse(row, window), dict(answers[0])
-        lo, hi, at, start, kind, more = (own.from_planes(x).astype(np.int64) for x in own.unbundle(answer.pop(min(answer))))
+        lo, hi, at, first, count, kind, more = (own.from_planes(x).astype(np.int64) for x in own.unbundle(answer.pop(min(answer))))
+        first = np.cumsum(first)
+        start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
         hit = np.zeros(len(start), dtype=bool)
         for owner, bits in answer.items():
             hit[at[owner] : at[owner + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[owner + 1] - at[owner]).astype(bool)
@@ -494,7 +576,10 @@ def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOC
         return pa.RecordBatch.from_arrays([p.ids, pa.array(p.n_words), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     answered: list[DataFrame] = []
-    for k in range(rounds + 1):
-        answered.append(names(blockwise(state, answered, ask_names, ASK), k, many))
-    found = earlier(blockwise(state, answered, ask_windows, ASK), window)
+    for k in range(CARRY):
+        answered.append(names(blockwise(state, answered, ask_names(k, parsed), ASK), k, many))
+    left = blockwise(state, answered, carry, "block long, carried binary").repartition("block")
+    for k in range(CARRY, ROUNDS + 1):
+        answered.append(names(blockwise(left, answered[CARRY:], ask_names(k, resumed), ASK), k, many))
+    found = earlier(blockwise(left.join(state, "block", "left"), [answered[0], *answered[CARRY:]], ask_windows, ASK), window)
     return blockwise(state, [found], remove, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -114,12 +114,18 @@ def test_recompression(docs, empty, window, block_bytes, many):
 def parsed(spark, texts, window=13, owners=3):
     """Each text as a block of its own, parsed to the last round."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    blocks = {r.block: recompress.Parse(r.asDict(), window) for r in recompress.packed(docs, 1).collect()}
+    rows = {r.block: r.asDict() for r in recompress.packed(docs, 1).collect()}
+    blocks, answers = {b: recompress.Parse(r, window) for b, r in rows.items()}, {}
     for k in range(recompress.ROUNDS + 1):
         asked = [(b, o, x) for b, p in blocks.items() for o, x in p.asked(k, owners)]
         got = recompress.names(spark.createDataFrame(asked, recompress.ASK), k, 256).collect()
         for b, p in blocks.items():
-            p.learn(k, owners, {r.owner: bytes(r.answer) for r in got if r.block == b})
+            answers[b, k] = {r.owner: bytes(r.answer) for r in got if r.block == b}
+            p.learn(k, owners, answers[b, k])
+        if k == recompress.CARRY - 1:
+            blocks = {b: recompress.Parse.resumed(p.carried(), window) for b, p in blocks.items()}
+    for b, p in blocks.items():
+        p.with_words(rows[b], answers[b, 0], owners)
     return [p for _, p in sorted(blocks.items())]
 
 
@@ -155,6 +161,17 @@ def test_equal_windows_have_equal_anchors(around_a_core):
     assert np.mean(np.array(seen[0][2]) > 1) > 0.9
 
 
+def test_pairs_of_one_route_are_told_apart(spark, monkeypatch):
+    texts = [" ".join(random.Random(i % 2).choices("abcdefghij", k=60)) for i in range(4)]
+    usual = [[s.name.tolist() for s in p.kinds] for p in parsed(spark, texts)]
+    monkeypatch.setattr(recompress, "route", lambda a, b: np.full(len(a), 5, np.uint64))
+    alike = [[s.name.tolist() for s in p.kinds] for p in parsed(spark, texts)]
+    assert usual[0] == usual[2] and alike[0] == alike[2] and alike[1] == alike[3]
+    for p in (usual, alike):
+        assert len({n for k in p[0][1:2] for n in k}) > 5
+    assert [len(set(k)) for k in usual[0][:2]] == [len(set(k)) for k in alike[0][:2]]  # later coins depend on names
+
+
 def test_windows_are_verified_at_their_anchors(around_a_core, monkeypatch):
     """An anchor counts by its name alone, what stands beside it by its words; equal hashes decide nothing."""
     _, _, blocks = around_a_core
