@@ -519,7 +519,7 @@ def blockwise(state: DataFrame, answered: list[DataFrame], f: Callable[[dict, li
     return state.mapInArrow(run, schema)
 
 
-def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
+def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOCK_BYTES // 2, many: int = 256) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: documents without the words of windows that start in one with a smaller doc_id."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 64)).first()[0] or 0
     n_owners = max(1, -(-size // block_bytes))
