@@ -6,15 +6,17 @@ its n-grams of `n` words, or its whole word sequence where it has fewer. Two doc
 1. Documents with one word sequence are copies: one of them, of the smallest doc_id, stands for all (a class).
 2. Each class has `bands * rows` minima of permuted n-gram hashes. With 28 bands of 6 rows, a pair of similarity 0.8 meets
    in a band with probability 1 - (1 - 0.8**6)**28 = 0.9998 and one of 0.3 with 0.02.
-3. A class is tied to the smallest class of each of its buckets; the connected components of these ties hold all pairs
-   that share a bucket. No pair is listed.
-4. A component is compared as a whole, with counts of common n-grams from blocked matrix products. One of over `block`
-   classes is cut into slices, and each pair of slices is a task of its own, so no task holds more than 2 * block
-   documents however large the component is. Tasks return a row for each document, never pairs.
+3. Classes are shuffled on their band hashes. Buckets of the same classes count as one, that of the first band. A bucket is
+   compared on full n-gram sets, with counts of common n-grams from blocked matrix products. One of over `block` classes
+   is cut into slices, and each pair of slices is a task of its own, so no task holds more than 2 * block documents
+   however large the bucket is. A pair counts in the first band in which it meets. Tasks return a row for each document
+   that has links, never pairs.
+4. Connected components of the verified links give the classes' ids.
 
 Defined cases: a document without words links to nothing and is its own class; of rows that share a doc_id, the one of
 the smallest word-sequence hash counts and one row comes back; rows of a null doc_id take no part and don't come back;
-columns beyond id and text aren't read; an empty table gives an empty result.
+columns beyond id and text aren't read; a long text's n-grams are held at once, some 100 bytes for each word; an empty
+table gives an empty result.
 """
 
 import numpy as np
@@ -79,7 +81,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) with v < u to (u, v) with v the least of u's component, u itself left out. Alternates large and small stars."""
+    """(u, v) with v < u to (u, v) with v the least of u's component, u itself left out. Alternates large and small stars.
+
+    A star's centre may be a third of all rows' neighbour. Least neighbours are combined before the shuffle and cut, so both
+    sides of each join are plain exchanges, whose skewed partitions Spark splits.
+    """
     before, edges = None, cut(edges.distinct())
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -87,9 +93,9 @@ def components(edges: DataFrame) -> DataFrame:
             return edges
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         near = large.join(least, "u")
         small = near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
@@ -132,48 +138,48 @@ def least_label(link: np.ndarray, ids: np.ndarray, left: int, other: int) -> np.
         label = new
 
 
-def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 28, rows: int = 6, block: int = 512) -> DataFrame:
+def buckets(classes: DataFrame, bands: int, block: int) -> DataFrame:
+    """(doc_id, bucket, band, cuts): the classes of each bucket of several; of buckets of the same classes, that of the first band. cuts: into how many slices it goes."""
+    held = classes.select(F.col("copy_of").alias("doc_id"), F.posexplode("bands").alias("band", "bucket"))
+    same = [F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(20,0)")).alias(f"same{k}") for k in range(2)]
+    full = held.groupBy("band", "bucket").agg(F.count("*").alias("n"), *same).where("n > 1")
+    full = full.groupBy("n", "same0", "same1").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.*", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+    return held.join(cut(full), ["band", "bucket"])
+
+
+def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 28, rows: int = 6, block: int = 512, few: int = 1 << 20) -> DataFrame:
     """doc_id, copy_of, class_id, n_copies, n_links for each document.
 
     copy_of: the smallest doc_id with the same word sequence. class_id: the smallest doc_id that a chain of links leads to.
     n_copies: documents with the same word sequence, itself included. n_links: other documents at the threshold, copies included.
+    few: up to so many ids of documents in buckets are broadcast (8 bytes each) to pick their texts; more are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = cut(signatures(docs, n, bands, rows).groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_words", "bands")).alias("s")).select("doc_id", "s.*"))
     worded = signed.where("n_words > 0")
     classes = cut(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
-
-    held = classes.select("copy_of", F.explode("bands").alias("bucket"))
-    heads = held.groupBy("bucket").agg(F.min("copy_of").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    ties = held.join(heads, "bucket").where("copy_of > head").select(F.col("copy_of").alias("u"), F.col("head").alias("v"))
-    tied = components(ties)
-    part = tied.select(F.col("u").alias("doc_id"), F.col("v").alias("part")).unionByName(tied.select(F.col("v").alias("doc_id"), F.col("v").alias("part")).distinct())
-    sizes = part.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
-    members = part.join(sizes, "part").join(classes.select(F.col("copy_of").alias("doc_id"), "n_copies", "k1"), "doc_id")
+    members = cut(buckets(classes, bands, block))
+    ids = cut(members.select("doc_id").distinct())
 
     def sets(batches):
         for b in slices(batches):
             grams, at, _, k1, _ = ngrams(b.column("text"), n)
-            right = k1.view(np.int64) == np.asarray(b.column("k1"))
-            packed = [np.unique(grams[at[i] : at[i + 1]]).tobytes() if right[i] else None for i in range(len(right))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "part", "cuts", "n_copies")), pa.array(packed, pa.binary())], ["doc_id", "part", "cuts", "n_copies", "grams"])
+            packed = [np.unique(grams[at[i] : at[i + 1]]).tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(packed, pa.binary())], ["doc_id", "k1", "grams"])
 
-    filled = docs.join(members, "doc_id").mapInArrow(sets, "doc_id long, part long, cuts int, n_copies long, grams binary").where("grams is not null")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, k1 long, grams binary")
+    some = classes.join(ids.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left_semi").select(F.col("copy_of").alias("doc_id"), "n_copies", "k1", "bands")
+    filled = members.join(texts.dropDuplicates(["doc_id", "k1"]).join(some, ["doc_id", "k1"]), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
     tasks = filled.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("it"))
-    tasks = tasks.select("doc_id", "part", "cuts", "n_copies", "grams", "own", F.least("own", "it").alias("i"), F.greatest("own", "it").alias("j"))
+    tasks = tasks.select("doc_id", "band", "bucket", "n_copies", "bands", "grams", "own", F.least("own", "it").alias("i"), F.greatest("own", "it").alias("j"))
     numer, denom = threshold
 
     def verify(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
         t = t.sort_by([("own", "ascending"), ("doc_id", "ascending")])
         ids, copies = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("doc_id", "n_copies"))
-        same = np.concatenate([[False], ids[1:] == ids[:-1]])  # repeated rows
-        if same.any():
-            t = t.filter(pa.array(~same))
-            ids, copies = ids[~same], copies[~same]
-        side = np.asarray(t.column("own").combine_chunks())
-        other = 0 if i == j else int(np.searchsorted(side, j))
+        other = 0 if i == j else int(np.searchsorted(np.asarray(t.column("own").combine_chunks()), j))
         left = len(ids) if i == j else other
         links = np.zeros(len(ids), dtype=np.int64)
         label = ids
@@ -181,19 +187,24 @@ def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), ba
             link = compare([np.frombuffer(g, dtype=np.uint64) for g in t.column("grams").to_pylist()], other, numer, denom)
             if i == j:
                 np.fill_diagonal(link, False)
+            label = least_label(link, ids, left, other)
+            # Links of pairs that have met in an earlier band are counted there.
+            hashes = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)[:, :band]
+            x, y = np.nonzero(link)
+            for lo in range(0, len(x), 65536):
+                a, b = x[lo : lo + 65536], y[lo : lo + 65536]
+                again = (hashes[a] == hashes[b + other]).any(axis=1)
+                link[a[again], b[again]] = False
             links[:left] += link @ copies[other:]
             if i != j:
                 links[other:] += copies[:left] @ link
-            label = least_label(link, ids, left, other)
-        return pa.table({"doc_id": pa.array(ids), "label": pa.array(label), "links": pa.array(links), "cuts": t.column("cuts")})
-
-    found = cut(tasks.groupBy("part", "i", "j").applyInArrow(verify, "doc_id long, label long, links long, cuts int"))
-    within = found.where("cuts = 1").select("doc_id", "label")
-    across = components(found.where("cuts > 1 and label < doc_id").select(F.col("doc_id").alias("u"), F.col("label").alias("v")))
-    labels = within.unionByName(across.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    known = classes.select("k1", "k2", "copy_of", "n_copies")
-    known = known.join(links.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left").join(labels.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left")
+        linked = (links > 0) | (label != ids)
+        return pa.table({"doc_id": pa.array(ids[linked]), "label": pa.array(label[linked]), "links": pa.array(links[linked])})
+
+    found = cut(tasks.groupBy("band", "bucket", "i", "j").applyInArrow(verify, "doc_id long, label long, links long"))
+    labels = components(found.where("label < doc_id").select(F.col("doc_id").alias("u"), F.col("label").alias("v"))).select(F.col("u").alias("copy_of"), F.col("v").alias("label"))
+    links = found.groupBy(F.col("doc_id").alias("copy_of")).agg(F.sum("links").alias("links"))
+    known = classes.select("k1", "k2", "copy_of", "n_copies").join(links, "copy_of", "left").join(labels, "copy_of", "left")
     with_words = worded.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select(
         "doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"), "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )

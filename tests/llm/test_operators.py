@@ -305,8 +305,8 @@ def test_join(spark, docs, empty):
     for _ in sets:
         for a, b in links:
             label[a] = min(label[a], label[b])
-    for block in (512, 2):
-        got = {r.doc_id: r for r in ngram_join.similar(rows, block=block).collect()}
+    for block, few in ((512, 1 << 20), (2, 0)):
+        got = {r.doc_id: r for r in ngram_join.similar(rows, block=block, few=few).collect()}
         assert set(got) == set(sets)
         assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (label[i], sum(a == i for a, _ in links)) for i in sets}
     assert sum(a == 21 for a, _ in links) >= 2  # the fixture has links
@@ -314,6 +314,22 @@ def test_join(spark, docs, empty):
     assert len({r.doc_id for r in ngram_join.similar(docs).collect()}) == len(copies)
 
 
+def test_recall_of_bands(spark):
+    """Pairs at the threshold and a little above it: no link of a few hundred is lost."""
+    rnd, rows, expected = random.Random(21), [], set()
+    for i in range(150):
+        words = [f"v{rnd.randrange(100000)}" for _ in range(rnd.randint(60, 200))]
+        near = list(words)
+        for _ in range(2):  # each change takes away up to five n-grams
+            near[rnd.randrange(len(near))] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, near))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            expected.add((2 * i, 2 * i + 1))
+    got = {(r.class_id, r.doc_id) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0 and doc_id > class_id").collect()}
+    assert len(expected) > 50 and got <= expected and len(got) >= 0.99 * len(expected)
+
+
 def test_components(spark):
     edges = [(2, 1), (3, 2), (9, 3), (7, 5), (8, 7), (20, 8), *((i + 1, i) for i in range(100, 140))]
     got = {r.u: r.v for r in ngram_join.components(spark.createDataFrame(edges, "u long, v long")).collect()}
