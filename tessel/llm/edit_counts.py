@@ -1,19 +1,24 @@
 """Token counts that follow edits without encoding a text anew.
 
-A document's pre-tokens are the leaves of a segment tree whose nodes hold sums of characters and tokens. An edit is
-located by descending the tree. Splitting restarts at the pre-token that holds the character CONTEXT before the edit (no
-pre-token depends on more characters behind its end) and stops at the first boundary behind the edit that the old text
-has too: what follows is the same, as a match depends on nothing before it. Only new pre-tokens are encoded; the sums of
-the touched leaves' ancestors are updated.
+built() splits and encodes each document once and keeps its segment tree as two arrays, the characters and the tokens of
+each pre-token. edited() takes such trees with edits and returns them updated, so batches of edits follow one another; a
+document without edits isn't encoded again. In a tree the pre-tokens are leaves, LEAF to a node, and nodes above hold sums.
+
+An edit is located by descending the tree. Splitting restarts at the pre-token that holds the character `context` before
+the edit, and stops at the first boundary behind the edit that the old text has too: what follows is the same, as a match
+depends on nothing before it. Only new pre-tokens are encoded; the sums of the touched leaves' ancestors are updated.
+context: how many characters behind its end may decide where a pre-token ends. 4 holds for the patterns of the common
+byte-pair tokenizers; a pattern that looks further ahead, as over a whole run of spaces, needs a larger one.
 
 Defined cases: a null is an empty text of 0 tokens; null or no edits change nothing; edits apply one after another, each
 to the text that the earlier ones left; bounds beyond the text are cut to it, an end before its start counts as the
-start, a null bound counts as 0, a null replacement as empty; equal rows give equal rows; columns beyond those named
-aren't read; an empty table gives no rows.
+start, a null bound counts as 0, a null replacement as empty; equal rows give equal rows; a long text is held with some
+20 bytes for each pre-token; columns beyond those named aren't read; an empty table gives no rows.
 """
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -60,10 +65,17 @@ def counter(ranks: str, pattern: str) -> Counter:
 class CountTree:
     """A text, its pre-tokens in leaves of about LEAF, and sums over a binary tree of the leaves."""
 
-    def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.encoded = text, counter, 0
-        pieces = counter.pattern.findall(text)
-        self._build(list(map(len, pieces)), counter.counts(pieces))
+    def __init__(self, text: str, counter: Counter, kept: tuple[list[int], list[int]] | None = None, context: int = CONTEXT):
+        """kept: characters and tokens of the pre-tokens, from an earlier tree of this text."""
+        self.text, self.counter, self.encoded, self.context = text, counter, 0, context
+        if kept is None:
+            pieces = counter.pattern.findall(text)
+            kept = list(map(len, pieces)), counter.counts(pieces)
+        self._build(*kept)
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of all pre-tokens."""
+        return [c for x in self.chars for c in x], [c for x in self.tokens for c in x]
 
     def _build(self, chars: list[int], tokens: list[int]) -> None:
         self.chars = [chars[i : i + LEAF] for i in range(0, len(chars), LEAF)] or [[]]
@@ -114,7 +126,7 @@ class CountTree:
         end = min(max(end, start), size)
         self.text = self.text[:start] + replacement + self.text[end:]
         shift = len(replacement) - (end - start)
-        leaf, place, begin = self._find(max(0, start - CONTEXT))
+        leaf, place, begin = self._find(max(0, start - self.context))
         last, stop, old = self._find(end)  # the first old boundary not before the edit's end
         if old < end:
             old += self.chars[last][stop]
@@ -149,25 +161,48 @@ class CountTree:
                 self._sum_up(k)
 
 
-def counted(docs: DataFrame, ranks: str, pattern: str, edits: str = "edits") -> DataFrame:
-    """doc_id, n_tokens_before, n_tokens, n_chars, n_pieces (pre-tokens), n_encoded (pre-tokens encoded for the edits), text.
+def built(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """doc_id, text, n_tokens, chars, tokens: the tree of each document, its pre-tokens' characters and tokens as arrays of 32-bit numbers.
+
+    ranks: path of the rank file on every worker."""
+
+    def run(batches):
+        c = counter(ranks, pattern)
+        for b in slices(batches):
+            n_tokens, chars, tokens = [], [], []
+            for text in b.column("text").to_pylist():
+                pieces = c.pattern.findall(text or "")
+                count = c.counts(pieces)
+                n_tokens.append(sum(count))
+                chars.append(np.fromiter(map(len, pieces), dtype="<u4", count=len(pieces)).tobytes())
+                tokens.append(np.array(count, dtype="<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(n_tokens, pa.int64()), pa.array(chars, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "text", "n_tokens", "chars", "tokens"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.mapInArrow(run, "doc_id long, text string, n_tokens long, chars binary, tokens binary")
+
+
+def edited(trees: DataFrame, ranks: str, pattern: str, edits: str = "edits", context: int = CONTEXT) -> DataFrame:
+    """The columns of built() after the edits; n_tokens_before, n_chars, n_pieces (pre-tokens), n_encoded (pre-tokens encoded for the edits).
 
-    edits: a column of arrays of (start, end, replacement), in characters. ranks: path of the rank file on every worker.
+    edits: a column of arrays of (start, end, replacement), in characters.
     """
 
     def run(batches):
         c = counter(ranks, pattern)
         for b in slices(batches):
             out = []
-            for doc_id, text, changes in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("edits").to_pylist(), strict=True):
-                tree = CountTree(text or "", c)
-                before = tree.n_tokens
-                for e in changes or []:
-                    if e is not None:
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-                out.append((doc_id, before, tree.n_tokens, len(tree.text), tree.n_pieces, tree.encoded, tree.text))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:6]), pa.array(columns[6], pa.string())], ["doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_pieces", "n_encoded", "text"])
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(edits).cast("array<struct<start: long, end: long, replacement: string>>").alias("edits"))
-    return docs.mapInArrow(run, "doc_id long, n_tokens_before long, n_tokens long, n_chars long, n_pieces long, n_encoded long, text string")
+            for doc_id, text, n_tokens, chars, tokens, changes in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "n_tokens", "chars", "tokens", "edits")), strict=True):
+                changes = [e for e in changes or () if e is not None]
+                if not changes:
+                    out.append((doc_id, text, n_tokens, chars, tokens, n_tokens, len(text), len(chars) // 4, 0))
+                    continue
+                tree = CountTree(text, c, tuple(np.frombuffer(x, "<u4").tolist() for x in (chars, tokens)), context)
+                for e in changes:
+                    tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
+                out.append((doc_id, tree.text, tree.n_tokens, *(np.array(x, dtype="<u4").tobytes() for x in tree.leaves()), n_tokens, len(tree.text), tree.n_pieces, tree.encoded))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text", "n_tokens", "chars", "tokens", "n_tokens_before", "n_chars", "n_pieces", "n_encoded"])
+
+    trees = trees.select("doc_id", "text", "n_tokens", "chars", "tokens", F.col(edits).cast("array<struct<start: long, end: long, replacement: string>>").alias("edits"))
+    return trees.mapInArrow(run, "doc_id long, text string, n_tokens long, chars binary, tokens binary, n_tokens_before long, n_chars long, n_pieces long, n_encoded long")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, decontaminate, edit_counts, maxscore, ngram_join, piece_bpe, quality, recompress, suffix_dedup, url_filter
+from .lineage import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +41,13 @@ def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits in every document: a deletion at a quarter, an insertion in the middle, a replacement at three quarters."""
-    pattern = importlib.import_module("public_tokenizers").PATTERN
-    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    """All documents' trees are written once; then come three edits in each document: a deletion at a quarter, an insertion in the middle, a replacement at three quarters."""
+    pattern, ranks = importlib.import_module("public_tokenizers").PATTERN, tokenizer_file("byte_bpe_50k.tiktoken")
+    trees = kept(edit_counts.built(table(spark, sf_dir, "documents"), ranks, pattern))
+    n = F.length("text").cast("long")
     at = lambda k: F.floor(n * k / 4)
     edit = lambda start, end, new: F.struct(start.alias("start"), end.alias("end"), F.lit(new).alias("replacement"))
-    docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(edit(at(1), at(1) + 5, ""), edit(at(2), at(2), " edited"), edit(at(3), at(3) + 1, "\n")))
-    rows = edit_counts.counted(docs, tokenizer_file("byte_bpe_50k.tiktoken"), pattern)
+    rows = edit_counts.edited(trees.withColumn("edits", F.array(edit(at(1), at(1) + 5, ""), edit(at(2), at(2), " edited"), edit(at(3), at(3) + 1, "\n"))), ranks, pattern)
     return rows.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_pieces", "n_encoded")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import chat_tree, decontaminate, edit_counts, maxscore, ngram_join, owners, piece_bpe, quality, recompress, suffix_dedup, url_filter
+from tessel.llm import chat_tree, decontaminate, edit_counts, lineage, maxscore, ngram_join, owners, piece_bpe, quality, recompress, suffix_dedup, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -353,7 +353,27 @@ def test_max_score(spark):
     assert maxscore.top_k(table.where("vec_id < 3"), table.where("vec_id = 1")).count() == 3
 
 
-def test_edit_counts(spark, docs):
+def test_the_split_moves():
+    """The non-essential terms' bounds stay below the k-th best score, more terms become non-essential as it rises, and few vectors are probed."""
+    rnd = np.random.default_rng(3)
+    ids, weights = np.arange(5000), rnd.integers(-1000, 1000, (32, 5000)) * (0.8 ** np.arange(32))[:, None]
+    weights = np.floor(weights)
+    queries, trace = np.floor(rnd.integers(-1000, 1000, (3, 32)).astype(float)), []
+    number, found, score = maxscore.shard_top(ids, weights, np.array([7, -1, -2]), queries, np.full(3, np.nan), 10, trace=trace)
+    for k, own in enumerate((7, -1, -2)):
+        want = sorted((-s, i) for i, s in enumerate(queries[k] @ weights) if i != own)[:10]
+        assert sorted(zip((-score[number == k]).tolist(), found[number == k].tolist(), strict=True)) == want
+        essential = [e for n, _, e, _ in trace if n == k]
+        assert essential[0] == 32 and essential[-1] < essential[1] < 32 and essential == sorted(essential, reverse=True)
+        assert sum(c for n, _, _, c in trace if n == k) < 4000
+    best = np.array([score[number == k].max() for k in range(3)])
+    assert len(maxscore.shard_top(ids, weights, np.array([7, -1, -2]), queries, best + 1, 10)[0]) == 0
+    bound = np.abs(queries * 2.0**60).sum()
+    trace.clear()
+    assert len(maxscore.shard_top(ids, weights, np.array([7]), queries[:1], np.array([bound]), 10, trace=trace)[0]) == 0 and not trace  # the whole shard is skipped
+
+
+def test_edit_counts(spark, docs, empty):
     ranks = P.path("byte_bpe_50k.tiktoken")
     counter = edit_counts.Counter(ranks, P.PATTERN)
     rnd, alphabet = random.Random(8), "ab '  \n\t1!lsrevd聖é"
@@ -362,14 +382,41 @@ def test_edit_counts(spark, docs):
         for _ in range(5):
             at = rnd.randint(-1, len(tree.text) + 2)
             tree.edit(at, at + rnd.choice([0, 1, 2, 5, 100]), "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 2, 7, 200]))))
-            assert [c for x in tree.chars for c in x] == [len(m) for m in counter.pattern.findall(tree.text)]
+            assert tree.leaves()[0] == [len(m) for m in counter.pattern.findall(tree.text)]
             assert tree.n_tokens == len(counter.encoding.encode_ordinary(tree.text))
     change = lambda s, e, r: F.struct(F.lit(s).cast("long").alias("start"), F.lit(e).cast("long").alias("end"), F.lit(r).cast("string").alias("replacement"))
-    rows = edit_counts.counted(docs.withColumn("edits", F.array(change(5, 9, "x y"), change(None, None, None), change(99999999, 3, "!"))), ranks, P.PATTERN).collect()
-    assert len(rows) == len(corpus())
-    for r in rows:
-        assert r.n_tokens == len(counter.encoding.encode_ordinary(r.text)) and r.text.endswith("!") and r.n_encoded <= 40
-    assert {r.n_encoded for r in edit_counts.counted(docs.withColumn("edits", F.lit(None)), ranks, P.PATTERN).collect()} == {0}
+    trees = lineage.kept(edit_counts.built(docs, ranks, P.PATTERN))
+    first = edit_counts.edited(trees.withColumn("edits", F.array(change(5, 9, "x y"), change(None, None, None), change(99999999, 3, "!"))), ranks, P.PATTERN)
+    second = edit_counts.edited(lineage.kept(first.withColumn("edits", F.array(change(0, 1, "new ")))), ranks, P.PATTERN)
+    for rows, end in ((first.collect(), "!"), (second.collect(), "!")):
+        assert len(rows) == len(corpus())
+        for r in rows:
+            assert r.n_tokens == len(counter.encoding.encode_ordinary(r.text)) and r.text.endswith(end) and r.n_encoded <= 40
+            assert np.frombuffer(r.chars, "<u4").tolist() == [len(m) for m in counter.pattern.findall(r.text)] and np.frombuffer(r.tokens, "<u4").sum() == r.n_tokens
+    same = edit_counts.edited(trees.withColumn("edits", F.lit(None)), ranks, P.PATTERN).collect()
+    assert {r.n_encoded for r in same} == {0} and sorted((r.doc_id, r.n_tokens) for r in same if r.doc_id) == sorted((r.doc_id, r.n_tokens) for r in trees.collect() if r.doc_id)
+    assert edit_counts.edited(edit_counts.built(empty, ranks, P.PATTERN).withColumn("edits", F.lit(None)), ranks, P.PATTERN).count() == 0
+
+
+def test_kept_trees_encode_only_what_edits_touch(monkeypatch):
+    counter = edit_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = "some words, and more of them " * 500
+    kept = edit_counts.CountTree(text, counter).leaves()
+    encoded = []
+    counts = counter.counts
+    monkeypatch.setattr(counter, "counts", lambda pieces: encoded.extend(pieces) or counts(pieces))
+    tree = edit_counts.CountTree(text, counter, kept)
+    assert encoded == [] and tree.leaves() == kept
+    tree.edit(7000, 7003, "other text")
+    assert 0 < len(encoded) < 10 and tree.n_tokens == len(counter.encoding.encode_ordinary(tree.text))
+
+
+def test_a_pattern_that_looks_far_ahead():
+    """Its pre-tokens' ends depend on more than four characters behind them; a larger context is right."""
+    counter = edit_counts.Counter(P.path("byte_bpe_50k.tiktoken"), r"\s*[\r\n]+|" + P.PATTERN)
+    tree = edit_counts.CountTree("word" + " " * 9 + "end", counter, context=64)
+    tree.edit(13, 13, "\n")
+    assert tree.leaves()[0] == [len(m) for m in counter.pattern.findall(tree.text)]
 
 
 def test_sentencepiece(docs, empty):
