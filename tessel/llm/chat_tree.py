@@ -8,11 +8,14 @@ A path becomes one text:
     <|im_start|>role\\ntext<|im_end|>\\n
 
 for each message. In roles and texts "<", any number of backslashes and "|" gains one backslash, so no text holds a control
-string, and unescape() takes that backslash away again. The loss mask is an array of the assistant texts' spans.
+string, and unescape() takes that backslash away again; in roles "%" and line breaks become %25 and %0A. The loss mask is an
+array of the assistant texts' spans.
 
 Defined cases: a null text is empty and a null role the empty role; a message whose parent isn't there is a root; a message that
 replies to itself or stands on a cycle never reaches a root and is in no path; null ids take no part; of rows that share
-tree and id, the least by its other columns counts; ties between leaves go to the smaller id; an empty table gives no rows.
+tree and id, the least by its other columns counts; ties between leaves go to the smaller id; columns beyond those named
+aren't read; a conversation becomes one row however long it is, so it is one task's, which works in proportion to its
+length; an empty table gives no rows.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +34,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
 
 
+def escape_role(role: Column) -> Column:
+    """A role stands on one line."""
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
+
+
+def unescape_role(role: Column) -> Column:
+    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def linear(rows: DataFrame) -> DataFrame:
     """(tree, id, parent, score, role, text) for conversations whose rows follow one another by turn; equal turns by role and text."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -69,13 +81,13 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
 def formatted(messages: DataFrame, per_tree: int = 1, learn: str = "assistant") -> DataFrame:
     """(tree, path, rank, conversation, loss): one text for each chosen path; loss: its spans (start, length) in characters that the model learns from."""
-    turns = paths(messages, per_tree).withColumn("head", F.concat(F.lit(START), escape(F.coalesce("role", F.lit(""))), F.lit("\n"))).withColumn("body", escape(F.coalesce("text", F.lit(""))))
-    turn = F.struct("step", F.concat("head", "body", F.lit(END + "\n")).alias("all"), F.length("head").cast("long").alias("skip"), F.length("body").cast("long").alias("size"), (F.col("role") == learn).alias("learn"))
-    rows = turns.groupBy("tree", "path", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    rows = rows.withColumn("sizes", F.transform("turns", lambda t: F.length(t["all"]).cast("long")))
-    # Running starts in one pass: (sum so far, starts).
-    starts = F.aggregate("sizes", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
-    spans = F.transform(F.filter(F.arrays_zip("turns", starts.alias("starts")), lambda z: z["turns"]["learn"]), lambda z: F.struct((z["starts"] + z["turns"]["skip"]).alias("start"), z["turns"]["size"].alias("length")))
+    turns = paths(messages, per_tree).withColumn("head", F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))).withColumn("body", escape(F.coalesce("text", F.lit(""))))
+    turns = turns.withColumn("all", F.concat("head", "body", F.lit(END + "\n")))
+    before = Window.partitionBy("tree", "path", "rank").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("all").cast("long")).over(before), F.lit(0).cast("long")) + F.length("head")
+    turns = turns.select("tree", "path", "rank", "step", "all", F.when(F.col("role") == learn, F.struct(start.alias("start"), F.length("body").cast("long").alias("length"))).alias("span"))
+    rows = turns.groupBy("tree", "path", "rank").agg(F.array_sort(F.collect_list(F.struct("step", "all", "span"))).alias("turns"))
+    spans = F.array_compact(F.transform("turns", lambda t: t["span"]))
     return rows.select("tree", "path", "rank", F.array_join(F.transform("turns", lambda t: t["all"]), "").alias("conversation"), spans.alias("loss"))
 
 
@@ -84,6 +96,6 @@ def read_back(rows: DataFrame) -> DataFrame:
     # A control string can't be part of an escaped text, so the text splits at them; the last part is empty.
     parts = F.filter(F.split(F.col("conversation"), r"<\|im_end\|>\n"), lambda p: p != "")
     whole = F.transform(parts, lambda p: F.substring(p, len(START) + 1, F.length(p)))
-    turns = F.transform(whole, lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substring(p, F.instr(p, "\n") + 1, F.length(p))).alias("text")))
+    turns = F.transform(whole, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substring(p, F.instr(p, "\n") + 1, F.length(p))).alias("text")))
     learned = F.transform("loss", lambda s: unescape(F.substring(F.col("conversation"), s["start"] + 1, s["length"])))
     return rows.withColumn("turns", turns).withColumn("learned", learned)

@@ -186,7 +186,7 @@ def shard_hits(texts: list[str | None], phrases: Phrases) -> tuple[list[int], li
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = 16_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, spans (start and end word of the merged hits), items (ids as sorted strings) and the columns of keep for each document."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, slices
+from .lineage import cut, kept, slices
 from .textarrays import FOLD_TABLE, U64, flat, mix, prefix_sums, span_hash, word_bounds, word_names
 
 _random = np.random.Generator(np.random.PCG64(7))
@@ -210,3 +210,17 @@ def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), ba
     )
     blank = signed.where("n_words = 0").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(blank)
+
+
+def one_of_each(docs: DataFrame, keep: tuple[str, ...] = (), few: int = 1 << 20, **how) -> DataFrame:
+    """doc_id, text and the columns of keep of one row of each group that chains of similar pairs connect, by row: that of the smallest doc_id.
+
+    Rows that share a doc_id, or have none, are compared as all others; a row without words is a group of its own. few: up
+    to so many numbers of rows that go are broadcast. how: as for similar().
+    """
+    rows = kept(docs.select("doc_id", "text", *keep, F.monotonically_increasing_id().alias("row")))
+    some = cut(similar(rows.select(F.col("row").alias("doc_id"), "text"), **how).where("n_links > 0").select(F.col("doc_id").alias("row"), "class_id"))
+    named = some.join(rows.select("row", "doc_id"), "row")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+    gone = cut(some.join(first, "row", "left_anti").select("row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= few else gone, "row", "left_anti").drop("row")

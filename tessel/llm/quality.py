@@ -5,8 +5,9 @@ doc_id, so it's the same rows wherever they lie. Their statistics (a few KB each
 trees are flattened into arrays; scoring walks all rows of a batch down all trees, one level at a time.
 
 Defined cases: a null is an empty text, and empty texts have a score as all others (that of zero statistics); rows
-without label, or of a label other than 0 and 1, aren't trained on; repeated label rows count once each; with labels of
-one value only, or none, every score is that value's (0.5 for none); columns beyond those named aren't read; an empty
+without label, or of a label other than 0 and 1, aren't trained on; of rows that share a doc_id one is trained on for each
+label that it has; a text of any length is read as a whole, at some 100 bytes for each of its bytes; with labels of one
+value only, or none, every score is that value's (0.5 for none); columns beyond those named aren't read; an empty
 table gives no rows.
 """
 
@@ -150,7 +151,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate:
 
 def sample_statistics(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most max_train labelled documents."""
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
 
     def run(batches):
@@ -159,8 +160,9 @@ def sample_statistics(docs: DataFrame, labels: DataFrame, max_train: int) -> tup
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most max_train rows of two numbers.
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    # At most max_train rows of two numbers are broadcast, and as many of statistics come back, however often a doc_id occurs.
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
     rows.sort()  # the same model whatever order the rows came in
     x = np.array([np.frombuffer(r.x, dtype=np.float32) for r in rows]).reshape(-1, len(FEATURES))
     return x, np.array([r.quality for r in rows], dtype=float)

@@ -12,12 +12,13 @@ number of rules times log2(universe / rules) and hardly on the corpus. They beco
 
 Defined cases: a null url or one without :// has an empty host and path, which no rule fits; of rules that repeat, one
 counts, and if one key is both allowed and blocked, block counts; equal rows give equal rows; columns beyond those
-named are kept; an empty table gives no rows; without rules every verdict is the default.
+named are kept, but host, path, rule and verdict are replaced; an empty table gives no rows; without rules every verdict is the default.
 """
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -98,6 +99,11 @@ class Cascade:
         return answer
 
 
+def listed(spark: SparkSession, keys: list[str]) -> DataFrame:
+    """Keys as rows of a column key, without a Python worker."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow", chunk: int = 50_000) -> DataFrame:
     """pages with host, path, rule (the longest that fits, or null) and verdict. rules: (allow or block, host, beginning of path)."""
     kinds: dict[str, str] = {}
@@ -118,7 +124,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url"
     for verdict, keys in names.items():
         for i in range(0, len(keys), chunk):
             part = keys[i : i + chunk]
-            cascades.append((verdict, Cascade(spark.createDataFrame([(k,) for k in part], "key string"), asked, len(part), n_universe)))
+            cascades.append((verdict, Cascade(listed(spark, part), asked, len(part), n_universe)))
 
     def kind(key: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -128,4 +134,5 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url"
 
     fits = F.filter(F.transform(keys_of(F.col("host"), F.col("path"), lengths), lambda k: F.struct(k.alias("key"), kind(k).alias("kind"))), lambda s: s["kind"].isNotNull())
     best = F.array_sort(F.transform(fits, lambda s: F.struct((-F.length(s["key"])).alias("size"), s["key"].alias("key"), s["kind"].alias("kind"))))
-    return pages.withColumn("best", F.try_element_at(best, F.lit(1))).withColumn("rule", F.col("best.key")).withColumn("verdict", F.coalesce("best.kind", F.lit(default))).drop("best")
+    name = "best" + "_" * max(map(len, pages.columns))  # no column of the caller's
+    return pages.withColumn(name, F.try_element_at(best, F.lit(1))).withColumn("rule", F.col(f"{name}.key")).withColumn("verdict", F.coalesce(f"{name}.kind", F.lit(default))).drop(name)
