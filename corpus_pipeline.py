@@ -3,8 +3,9 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. Each works on all rows
 that its predecessor kept. All but the last return the columns of documents.
 
-Defined cases are those of the operators; besides, rows of a null doc_id pass the stages that decide by doc_id, texts
-that lose bytes to a cut through a character lose the rest of that character too, and n_chars follows the text.
+Defined cases are those of the operators; besides, near duplicates go by row, so of repeated rows one stays, with or
+without a doc_id; texts that lose bytes to a cut through a character lose the rest of that character too, and n_chars
+follows the text.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,20 @@ from tessel.query_pack import scratch
 LEAST_QUALITY = 0.3
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def apart(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns in one struct, so that none of them meets an operator's own names."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("other"))
 
 
 def together(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents again; n_chars is that of the text."""
     back = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*(back.get(c, F.col(f"other.`{c}`")).alias(c) for c in columns))
+    return rows.select(*(back.get(c, F.col(f"other.{quoted(c)}")).alias(c) for c in columns))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that chains of similar pairs connect, the one of the smallest doc_id."""
-    others = ngram_join.similar(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return together(ngram_join.one_of_each(apart(docs), ("other",)), docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
