@@ -30,8 +30,8 @@ def test_stages(spark, tmp_path):
 
 @needs_data
 def test_odd_rows_and_columns(spark):
-    rows = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "'x' as score", "1 as spans", "doc_id as block", "'y' as class_id", "2 as `other`", "3 as `a b`")
-    odd = rows.limit(2).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars", "score", "spans", "block", "class_id", "`other`", "`a b`")
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "'x' as score", "1 as spans", "doc_id as block", "'y' as class_id", "2 as `other`", "3 as `a b`", "4 as `a``b`")
+    odd = rows.limit(2).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars", "score", "spans", "block", "class_id", "`other`", "`a b`", "`a``b`")
     docs = rows.limit(60).unionByName(odd)
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, DATA)
