@@ -147,7 +147,7 @@ def buckets(classes: DataFrame, bands: int, block: int) -> DataFrame:
     return held.join(cut(full), ["band", "bucket"])
 
 
-def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 28, rows: int = 6, block: int = 512, few: int = 1 << 20) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 28, rows: int = 6, block: int = 256, few: int = 1 << 20) -> DataFrame:
     """doc_id, copy_of, class_id, n_copies, n_links for each document.
 
     copy_of: the smallest doc_id with the same word sequence. class_id: the smallest doc_id that a chain of links leads to.

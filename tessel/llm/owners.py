@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text of a block, and what an owner should get from all blocks together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 ASK = "block int, owner int, keys binary"
 ANSWER = "block int, owner int, bits binary"
 _codec = pa.Codec("zstd", 3)
