@@ -5,38 +5,22 @@ from pyspark.sql import functions as F
 
 from tessel.plans import filters
 
-ROWS = [
-    ("doc1", "article", ["python", "record_vector", "data"], 2023, 4.5),
-    ("doc2", "book", ["python", "algorithms"], 2021, 4.8),
-    ("doc3", "article", ["record_vector", "database"], 2022, 3.9),
-]
+ROWS = [("oak", "tree", ["leaf", "hard", "acorn"], 1720, 31.5), ("fern", "herb", ["leaf", "spore"], 1650, 0.8), ("pine", "tree", ["hard", "cone"], 1801, 27.25)]
+COLUMNS = "id string, kind string, traits array<string>, named int, height double"
+ALL = {"oak", "fern", "pine"}
 WHERE = [
-    ({"type": "article"}, {"doc1", "doc3"}),
-    ({"tags": "python"}, {"doc1", "doc2"}),
-    ({"type": {"$in": ["article", "book"]}}, {"doc1", "doc2", "doc3"}),
-    ({"type": ["book"]}, {"doc2"}),
-    ({"type": {"$in": []}}, set()),
-    ({"year": {"$gte": 2022, "$lte": 2023}}, {"doc1", "doc3"}),
-    ({"score": {"$gt": 4.0, "$lt": 5.0}}, {"doc1", "doc2"}),
-    ({"score": {"$gte": 4.0, "$lt": 4.7}}, {"doc1"}),
-    ({"tags": {"$in": ["python", "database"]}, "year": {"$gte": 2022}}, {"doc1", "doc3"}),
-    ({"year": {"$in": [2021], "$gt": 2022}}, {"doc1", "doc2"}),
-    ({"author": "unknown"}, set()),
-    ({"year": {"$ne": 2021}}, set()),
-    ({"year": {}}, set()),
-    ({"year": "2021"}, set()),
-    ({"year": 2021.0}, {"doc2"}),
-    ({"type": {"$gte": "b"}}, {"doc2"}),
-    ({}, {"doc1", "doc2", "doc3"}),
-    (None, {"doc1", "doc2", "doc3"}),
-]
+    ({"kind": "tree"}, {"oak", "pine"}), ({"traits": "leaf"}, {"oak", "fern"}), ({"kind": {"$in": ["tree", "herb"]}}, ALL), ({"kind": ["herb"]}, {"fern"}), ({"kind": {"$in": []}}, set()),
+    ({"named": {"$gte": 1720, "$lte": 1801}}, {"oak", "pine"}), ({"height": {"$gt": 0.8, "$lt": 30.0}}, {"pine"}), ({"height": {"$gte": 27.25, "$lt": 31.5}}, {"pine"}),
+    ({"traits": {"$in": ["spore", "cone"]}, "named": {"$gte": 1700}}, {"pine"}), ({"named": {"$in": [1650], "$gt": 1800}}, {"fern", "pine"}), ({"colour": "green"}, set()), ({"named": {"$ne": 1650}}, set()),
+    ({"named": {}}, set()), ({"named": "1650"}, set()), ({"named": 1650.0}, {"fern"}), ({"kind": {"$gte": "i"}}, {"oak", "pine"}), ({}, ALL), (None, ALL),
+]
 
 
 @pytest.mark.parametrize("wanted,expected", WHERE)
 def test_typed_and_dynamic_agree(spark, wanted, expected):
-    typed = spark.createDataFrame(ROWS, "id string, type string, tags array<string>, year int, score double")
+    typed = spark.createDataFrame(ROWS, COLUMNS)
     assert {r.id for r in typed.where(filters.where(wanted, typed.schema)).collect()} == expected
-    rows = [(i, json.dumps({"type": t, "tags": g, "year": y, "score": s})) for i, t, g, y, s in ROWS]
+    rows = [(i, json.dumps({"kind": k, "traits": t, "named": n, "height": h})) for i, k, t, n, h in ROWS]
     dynamic = spark.createDataFrame(rows, "id string, m string").withColumn("m", F.parse_json("m"))
     assert {r.id for r in dynamic.where(filters.where(wanted, metadata=F.col("m"))).collect()} == expected
 
@@ -54,20 +38,21 @@ def test_dynamic_values(spark):
     assert found({"x": {"$gte": 5, "$lt": 6}}) == {"f"}
     assert found({"it's.odd": 3}) == found({"a'b\"c": "q"}) == {"h"}
     assert found({"x": 9007199254740993}) == {"i"}
+    assert found({"x": {"$gt": 9007199254740992}}) == found({"x": {"$gte": 9007199254740993}}) == {"i"} and found({"x": {"$gt": 9007199254740993}}) == set()
+    assert found({"x": {"$gt": 6, "$lt": 9007199254740993}}) == set()
 
 
-FOX = "The quick brown fox jumps over the lazy dog"
+HERONS = "Seven grey herons wait beside slow water at dusk"
 DOCUMENT = [
-    ({"$contains": "quick brown"}, True), ({"$contains": "QUICK BROWN"}, False), ({"$contains": ""}, True), ({"$not_contains": "cat"}, True), ({"$not_contains": "fox"}, False),
-    ({"$and": []}, True), ({"$or": []}, False), ({}, True), (None, True), ({"$and": [{"$contains": "fox"}, {"$contains": "dog"}]}, True), ({"$or": [{"$contains": "cat"}, {"$contains": "dog"}]}, True),
-    ({"$contains": "fox", "$not_contains": "cat"}, True), ({"$contains": "fox", "$nope": 1}, False), ({"$contains": 5}, False), ({"$and": "fox"}, False), ({"$and": [{}]}, True),
-    ({"$or": [{"$contains": "cat"}, {"$and": [{"$contains": "fox"}, {"$not_contains": "cat"}]}]}, True), ({"$and": ["fox"]}, False),
+    (None, True), ({}, True), ({"$contains": "grey herons"}, True), ({"$contains": "GREY HERONS"}, False), ({"$contains": ""}, True), ({"$contains": 7}, False), ({"$not_contains": "boat"}, True), ({"$not_contains": "dusk"}, False),
+    ({"$contains": "water", "$not_contains": "boat"}, True), ({"$contains": "water", "$near": 1}, False), ({"$and": []}, True), ({"$and": "water"}, False), ({"$and": ["water"]}, False), ({"$and": [{}]}, True),
+    ({"$and": [{"$contains": "water"}, {"$contains": "dusk"}]}, True), ({"$or": []}, False), ({"$or": [{"$contains": "boat"}, {"$contains": "dusk"}]}, True), ({"$or": [{"$contains": "boat"}, {"$and": [{"$contains": "slow"}, {"$not_contains": "boat"}]}]}, True),
 ]
 
 
 @pytest.mark.parametrize("wanted,expected", DOCUMENT)
 def test_documents(spark, wanted, expected):
-    rows = spark.createDataFrame([(FOX,)], "text string")
+    rows = spark.createDataFrame([(HERONS,)], "text string")
     assert (rows.where(filters.where_document(wanted, F.col("text"))).count() == 1) is expected
 
 
@@ -78,7 +63,7 @@ def test_empty_documents_never_match(spark):
 
 
 def test_typed_filter_reaches_the_scan(spark, tmp_path):
-    spark.createDataFrame(ROWS, "id string, type string, tags array<string>, year int, score double").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame(ROWS, COLUMNS).write.parquet(str(tmp_path / "t"))
     rows = spark.read.parquet(str(tmp_path / "t"))
-    plan = rows.where(filters.where({"year": {"$gte": 2022}, "type": "article"}, rows.schema))._jdf.queryExecution().toString()
-    assert "GreaterThanOrEqual(year,2022)" in plan and "EqualTo(type,article)" in plan
+    plan = rows.where(filters.where({"named": {"$gte": 1700}, "kind": "tree"}, rows.schema))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(named,1700)" in plan and "EqualTo(kind,tree)" in plan
