@@ -57,6 +57,21 @@ def column_digest(data: Column, algorithm: Algorithm = "sha256") -> Column:
     return other(data.cast("binary"))
 
 
+def record_digest(row: Column) -> Column:
+    """The checksum of a struct of the columns of records, by its own algorithm."""
+
+    @F.pandas_udf("string")
+    def of(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in rows.itertuples(index=False):
+            document = r.document if r.document is None or r.document_is_text else json.loads(r.document)
+            out.append(digest(record_bytes(r.kind, r.record_id, document, r.vector, None if r.metadata is None else json.loads(r.metadata)), r.checksum_algorithm or "sha256"))
+        return pd.Series(out)
+
+    return of(row)
+
+
+# Fixed values of the record format: the order of the parts, "null" for what isn't there, float32 in little-endian order.
 def record_bytes(kind: str, record_id: str, document, vector, metadata) -> bytes:
     """What a record's checksum covers: kind, id, document, float32 components and metadata, null for what isn't there."""
     parts = [kind.encode(), record_id.encode()]
@@ -76,6 +91,17 @@ def result_digest(record_checksum: str, distance: float, algorithm: Algorithm =
     return digest(record_checksum.encode() + canonical(distance).encode(), algorithm)
 
 
+def vector_wire(vector: Column) -> Column:
+    """Struct (b64, dtype, shape) of an array<float>."""
+
+    @F.pandas_udf("b64 string, dtype string, shape array<int>")
+    def encode(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([array_to_wire(np.asarray(v, dtype=np.float32)) if v is not None else {"b64": None, "dtype": None, "shape": None} for v in values])
+
+    return encode(vector)
+
+
+# Fixed values of the wire form of arrays: the names b64, dtype and shape.
 def array_to_wire(a: np.ndarray) -> dict:
     """An array as base64 text, dtype and shape."""
     return {"b64": base64.b64encode(a.tobytes()).decode("ascii"), "dtype": str(a.dtype), "shape": list(a.shape)}

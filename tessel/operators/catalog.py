@@ -1,11 +1,11 @@
-"""The catalog of collections as queries over a small table (name, dim, vector_type, metric, checksum_algorithm, checksum, created_at, updated_at)."""
+"""The catalog of collections as queries over a small table (name, dim, vector_type, metric, checksum_algorithm, checksum, normalize, resize, pad, created_at, updated_at)."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checksums import column_digest
 
-COLUMNS = "name string, dim int, vector_type string, metric string, checksum_algorithm string, checksum string, created_at timestamp, updated_at timestamp"
+COLUMNS = "name string, dim int, vector_type string, metric string, checksum_algorithm string, checksum string, normalize boolean, resize boolean, pad double, created_at timestamp, updated_at timestamp"
 
 
 def search(catalog: DataFrame, name_pattern: str | None = None, vector_type: str | None = None, min_dim: int | None = None, max_dim: int | None = None) -> DataFrame:

@@ -41,15 +41,20 @@ def batch_preimages(batch: DataFrame, state: DataFrame, key: str = "record_id")
     return batch.join(state.select(key, *columns), key, "left")
 
 
-def committed(log: DataFrame, key: str = "record_id", lsn: str = "lsn") -> DataFrame:
-    """Prepared changes of all keys that have a commit marker, by lsn. One marker releases all changes of its key."""
+def committed(log: DataFrame, key: str = "record_id") -> DataFrame:
+    """Prepared changes of all keys that have a commit marker. One marker releases all changes of its key."""
     markers = log.where("phase = 'commit'").select(key).distinct()
-    return log.where("phase = 'prepare'").join(markers, key, "left_semi").orderBy(lsn)
+    return log.where("phase = 'prepare'").join(markers, key, "left_semi")
 
 
 def replayed(log: DataFrame, visible_lsn: int, key: str = "record_id", lsn: str = "lsn") -> DataFrame:
     """Committed changes that a state at visible_lsn lacks; replaying twice changes nothing."""
-    return committed(log, key, lsn).where(F.col(lsn) > visible_lsn)
+    return committed(log, key).where(F.col(lsn) > visible_lsn)
+
+
+def replay(log: DataFrame, visible_lsn: int, key: str = "record_id", lsn: str = "lsn") -> DataFrame:
+    """replayed(), in the order in which changes are to be applied one by one. A fold needs no order."""
+    return replayed(log, visible_lsn, key, lsn).orderBy(lsn)
 
 
 def compacted(log: DataFrame, visible_lsn: int, key: str = "record_id", lsn: str = "lsn") -> DataFrame:
@@ -76,14 +81,29 @@ def numbered(batch: DataFrame, after: int, order: list[str], lsn: str = "lsn") -
 
 
 def conflicts(accesses: DataFrame) -> DataFrame:
-    """Pairs (version, other, record_id, kind) where `other` committed a record after `version` began, that `version` wrote or read.
+    """(version, record_id, kind, n_others, other): versions that others' commits to a record contradict, which came after the version began
+    and, unless it's open, before it ended. n_others: how many commits; other: the version of the last one (of equal times, the largest).
 
-    accesses: (version, record_id, access: read or write, created_at, committed_at, null while open).
+    accesses: (version, record_id, access: read or write, created_at, committed_at, null while open), a version's all alike.
+    Beginnings, ends and commits of a record run past once, in order of time, so a record that very many versions write
+    costs as many rows, not their pairs.
     """
-    mine = accesses.select("version", "record_id", "access", "created_at", F.col("committed_at").alias("ended_at"))
-    theirs = accesses.where("access = 'write' and committed_at is not null").select(F.col("version").alias("other"), "record_id", "committed_at")
-    met = mine.join(theirs, "record_id").where("version <> other and committed_at > created_at and (ended_at is null or committed_at < ended_at)")
-    return met.select("version", "other", "record_id", F.when(F.col("access") == "write", "write-write").otherwise("read-write").alias("kind")).distinct()
+    mine = accesses.select("version", "record_id", "access", "created_at", "committed_at").distinct()
+    writes = mine.where("access = 'write' and committed_at is not null")
+    none = F.lit(None).cast(mine.schema["version"].dataType)
+    points = [  # of one time: ends see no commit of that time, beginnings all
+        mine.select("record_id", "version", "access", F.col("committed_at").alias("at"), F.lit(0).alias("what"), none.alias("writer")),
+        writes.select("record_id", "version", "access", F.col("committed_at").alias("at"), F.lit(1).alias("what"), F.col("version").alias("writer")),
+        mine.select("record_id", "version", "access", F.col("created_at").alias("at"), F.lit(2).alias("what"), none.alias("writer")),
+    ]
+    line = points[0].unionByName(points[1]).unionByName(points[2])
+    so_far = Window.partitionBy("record_id").orderBy(F.asc_nulls_last("at"), "what", F.asc_nulls_first("writer")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = line.select("*", F.count("writer").over(so_far).alias("n"), F.last("writer", ignorenulls=True).over(so_far).alias("last")).where("what <> 1")
+    ends = seen.groupBy("version", "record_id", "access").agg(
+        (F.max(F.when(F.col("what") == 0, F.col("n"))) - F.max(F.when(F.col("what") == 2, F.col("n")))).alias("n_others"), F.max(F.when(F.col("what") == 0, F.col("last"))).alias("other")
+    )
+    kind = F.when(F.col("access") == "write", "write-write").otherwise("read-write")
+    return ends.where("n_others > 0").select("version", "record_id", kind.alias("kind"), "n_others", "other")
 
 
 def consistency(index: DataFrame, blocks: DataFrame, file_size: int, key: str = "record_id") -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import vectors as V
 MAX_QUERY_BYTES = 64 << 20
 
 
-def knn(rows: DataFrame, query: Sequence[float], k: int, metric: str = "l2", key: str = "record_id", vector: str = "vector", where: Column | None = None, within: Column | None = None) -> DataFrame:
+def knn(rows: DataFrame, query: Sequence[float] | Column, k: int, metric: str = "l2", key: str = "record_id", vector: str = "vector", where: Column | None = None, within: Column | None = None) -> DataFrame:
     """The k nearest rows with their distance and rank, ties by key.
 
     The filter sits below the top-k, so the answer is exact however selective it is. Each task keeps k rows (a

@@ -102,7 +102,10 @@ class Dynamic:
         if isinstance(value, str):
             return (F.schema_of_variant(x) == "STRING") & getattr(F.try_variant_get(x, "$", "string"), BOUNDS[op])(F.lit(value))
         if isinstance(value, bool | int | float):
-            return F.schema_of_variant(x).rlike(NUMBERS) & getattr(F.try_variant_get(x, "$", "double"), BOUNDS[op])(F.lit(float(value)))
+            found = getattr(F.try_variant_get(x, "$", "double"), BOUNDS[op])(F.lit(float(value)))
+            if isinstance(value, int) and abs(value) >= EXACT:  # where doubles skip integers
+                found = F.coalesce(getattr(F.try_variant_get(x, "$", "decimal(38,0)"), BOUNDS[op])(F.lit(value).cast("decimal(38,0)")), found)
+            return F.schema_of_variant(x).rlike(NUMBERS) & found
         return F.lit(False)
 
 

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import StorageError, WriteConflict
 from .functions import checksums, text, vectors
 from .operators import catalog, changelog, projection, search
 from .plans import filters
+from .schema import RECORD, RECORD_TYPE, TOMBSTONE, CollectionSchema
+from .sources import codecs
+from .sources.collection import Store
 from .streaming import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,9 +39,14 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where none is set."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or, with a local master only, a temporary one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="stream-")
+    if shared:
+        return f"{shared}/scratch-{uuid.uuid4()}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise StorageError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="scratch-")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,11 +236,106 @@ def term_postings(spark, d):
     return text.term_counts(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS term, doc_id FROM documents")
+def term_pairs(spark, d):
+    return text.term_rows(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(r"SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS term FROM documents) GROUP BY term")
+def posting_lists(spark, d):
+    return text.postings(table(spark, d, "documents"), "doc_id", "text").select("term", F.array_join("ids", ",").alias("ids"))
+
+
+NESTED = """SELECT path, value, event_id FROM (SELECT 'a' AS path, '{"b":{"c":' || (props->>'k') || ',"d":["x","y"]}}' AS value, event_id FROM events
+    UNION ALL SELECT 'a.b', '{"c":' || (props->>'k') || ',"d":["x","y"]}', event_id FROM events UNION ALL SELECT 'a.b.c', props->>'k', event_id FROM events
+    UNION ALL SELECT 'a.b.d', unnest(['x', 'y']), event_id FROM events)"""
+
+
+@query(NESTED)
+def field_paths_nested(spark, d):
+    deep = F.concat(F.lit('{"a": {"b": {"c": '), F.get_json_object("props", "$.k"), F.lit(', "d": ["x", "y"]}}}'))
+    return text.field_rows(table(spark, d, "events").select("event_id", deep.alias("props")), "event_id", "props")
+
+
 @query("SELECT 'k' AS path, props->>'k' AS value, event_id FROM events")
 def field_paths(spark, d):
     return text.field_rows(table(spark, d, "events"), "event_id", "props")
 
 
+FALSY = "CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '{}' WHEN 3 THEN '[]' WHEN 4 THEN '0' ELSE text END"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {FALSY} AS t FROM documents) WHERE doc_id % 8 > 4 AND t <> '' AND NOT contains(t, 'tion')")
+def doc_falsy(spark, d):
+    """Documents that are empty, as text or as JSON, match no filter."""
+    rows = table(spark, d, "documents").select("doc_id", F.expr(FALSY).alias("t"), (F.col("doc_id") % 8 > 4).alias("is_text"))
+    return rows.where(filters.where_document({"$not_contains": "tion"}, F.col("t"), F.col("is_text"))).select("doc_id")
+
+
+def _record_rows(spark, d):
+    """Embeddings with their documents as rows of records."""
+    rows = records(spark, d).select(F.col("vec_id").cast("string").alias("record_id"), F.lit(RECORD).alias("kind"), F.col("embedding").alias("vector"), F.coalesce("text", F.lit("none")).alias("document"), F.lit(True).alias("document_is_text"))
+    rows = rows.select("*", F.to_json(F.struct(F.length("document").alias("n"))).alias("metadata"), F.lit(None).cast("string").alias("checksum"), F.lit("sha256").alias("checksum_algorithm"))
+    return rows.withColumn("checksum", checksums.record_digest(F.struct(*RECORD_TYPE.names)))
+
+
+@query(f"SELECT e.vec_id::VARCHAR AS record_id, embedding[64] AS last, sha256(coalesce(text, 'none')) AS document, true AS sound FROM {RECORDS}")
+def codec_round_trip(spark, d):
+    """Records as bytes and back; decoding fails where a checksum is wrong."""
+    rows = _record_rows(spark, d)
+    back = rows.select(codecs.decoded(codecs.encoded(F.struct(*RECORD_TYPE.names))).alias("r"), "checksum")
+    return back.select("r.record_id", F.element_at("r.vector", -1).alias("last"), F.sha2("r.document", 256).alias("document"), (F.col("r.checksum") == F.col("checksum")).alias("sound"))
+
+
+@query("SELECT vec_id, embedding[1] AS x1, embedding[64] AS x64, 64 AS size FROM embeddings")
+def wire_vectors(spark, d):
+    """Vectors as base64 text and back."""
+    rows = table(spark, d, "embeddings").select("vec_id", checksums.vector_wire(F.col("embedding")).alias("wire"))
+    back = rows.select("vec_id", checksums.wire_vector(F.col("wire")).alias("v"))
+    return back.select("vec_id", F.col("v")[0].alias("x1"), F.col("v")[63].alias("x64"), F.size("v").alias("size"))
+
+
+def _history(spark, d):
+    """A collection of all customers: written, a third changed, a snapshot, a fifth deleted, a compaction; and the lsns after each write."""
+    c = Store(spark, scratch(spark)).create_collection(CollectionSchema("customers", 1))
+    full = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("record_id"), F.lit(RECORD).alias("kind"), F.array(F.col("c_acctbal").cast("float")).alias("vector"), F.col("c_name").alias("document"), F.lit(True).alias("document_is_text"))
+    full = full.select("*", *(F.lit(None).cast("string").alias(k) for k in ("metadata", "checksum", "checksum_algorithm")))
+    c.write(full)
+    lsns = [c.max_lsn()]
+    c.write(full.where("record_id % 3 = 0").withColumn("document", F.lit("changed")))
+    lsns.append(c.flush())
+    gone = full.where("record_id % 5 = 0").select("record_id", F.lit(TOMBSTONE).alias("kind"))
+    c.write(gone.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD_TYPE.fields[2:])))
+    lsns.append(c.max_lsn())
+    c.compact()
+    return c, lsns
+
+
+@query("""SELECT 'snapshot' AS state, c_custkey::VARCHAR AS record_id, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END AS document FROM customer
+          UNION ALL SELECT 'newest', c_custkey::VARCHAR, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END FROM customer WHERE c_custkey % 5 <> 0""")
+def as_of_compacted(spark, d):
+    """What a collection was at an lsn is still to be had after a compaction, from the newest snapshot before it."""
+    c, (_, second, last) = _history(spark, d)
+    state = lambda name, lsn: c.read(as_of=lsn).select(F.lit(name).alias("state"), "record_id", "document")
+    return state("snapshot", second).unionByName(state("newest", last))
+
+
+@query("SELECT * FROM (VALUES ('after the first write', true), ('after the second', true), ('after the third', false)) t(base, refused)")
+def conflict_compacted(spark, d):
+    """A writer whose base is older than the compaction, or whose record changed since, is refused."""
+    c, lsns = _history(spark, d)
+    one = c.read().where("record_id = '1'").withColumn("document", F.lit("mine"))
+    tombstone = one.select("record_id", F.lit(TOMBSTONE).alias("kind"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD_TYPE.fields[2:])).withColumn("record_id", F.lit("5"))
+    out = []
+    for name, lsn in zip(("after the first write", "after the second", "after the third"), lsns, strict=True):
+        try:
+            c.write(tombstone if lsn == lsns[1] else one, lsn)
+            out.append((name, False))
+        except WriteConflict:
+            out.append((name, True))
+    return spark.createDataFrame(out, "base string, refused boolean")
+
+
 # The events table as a change log: event_id is the lsn, user_id the key, an error deletes.
 def _gone():
     return F.col("event_type") == "error"
@@ -280,7 +384,7 @@ def _phases(spark, d):
 
 @query("SELECT event_id AS lsn, user_id AS record_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND event_id > 200")
 def replay_committed(spark, d):
-    return changelog.replayed(_phases(spark, d), 200).select("lsn", "record_id", "event_type")
+    return changelog.replay(_phases(spark, d), 200).select("lsn", "record_id", "event_type")
 
 
 @query("""SELECT event_id AS lsn, 'prepare' AS phase, user_id AS record_id FROM events WHERE event_id > 900
@@ -307,17 +411,17 @@ def _accesses(spark, d):
     return e.select(F.col("event_id").alias("version"), F.col("user_id").alias("record_id"), access.alias("access"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("committed_at"))
 
 
-CONFLICTS = """WITH a AS (SELECT event_id AS version, user_id AS record_id, CASE WHEN event_type = 'view' THEN 'read' ELSE 'write' END AS access, ts AS created_at, ts + INTERVAL 1 HOUR AS committed_at FROM events WHERE event_id < 3000)
-    SELECT DISTINCT a.version, b.version AS other, a.record_id FROM a JOIN a b USING (record_id)
-    WHERE a.version <> b.version AND b.access = 'write' AND b.committed_at > a.created_at AND b.committed_at < a.committed_at AND a.access = """
+CONFLICTS = """WITH a AS (SELECT event_id AS version, user_id AS record_id, CASE WHEN event_type = 'view' THEN 'read' ELSE 'write' END AS access, ts AS created_at, ts + INTERVAL 1 HOUR AS committed_at FROM events)
+    SELECT a.version, a.record_id, count(*) AS n_others, max_by(b.version, (b.committed_at, b.version)) AS other FROM a JOIN a b USING (record_id)
+    WHERE b.access = 'write' AND b.committed_at > a.created_at AND b.committed_at < a.committed_at AND a.access = '{}' GROUP BY ALL"""
 
 
-@query(CONFLICTS + "'write'")
+@query(CONFLICTS.format("write"))
 def conflicts_ww(spark, d):
     return changelog.conflicts(_accesses(spark, d)).where("kind = 'write-write'").drop("kind")
 
 
-@query(CONFLICTS + "'read'")
+@query(CONFLICTS.format("read"))
 def conflicts_rw(spark, d):
     return changelog.conflicts(_accesses(spark, d)).where("kind = 'read-write'").drop("kind")
 

@@ -31,6 +31,10 @@ class CollectionSchema:
     metric: str = "l2"
     checksum_algorithm: str = "sha256"
     checksum: str = field(default="", compare=False)
+    #: Searches compare vectors scaled to length 1; cut or padded to dim, so that records may have vectors of any length.
+    normalize: bool = False
+    resize: bool = False
+    pad: float = 0.0
 
     def __post_init__(self):
         if not self.name or self.dim < 1:
@@ -137,15 +141,15 @@ class SearchRequest:
             raise DimensionMismatch(f"query of {self.vector.size} components for a collection of {dim}")
 
 
-def problems(dim: int) -> Column:
-    """Why a row of RECORD_TYPE can't be taken, or null."""
+def problems(dim: int | None) -> Column:
+    """Why a row of RECORD_TYPE can't be taken, or null. dim: None takes vectors of any length."""
     size, kind = F.size("vector"), F.col("kind")
     meta = F.try_parse_json("metadata")
     nested = F.exists(F.map_values(F.try_variant_get(meta, "$", "map<string,variant>")), lambda v: F.schema_of_variant(v).rlike(r"^(OBJECT|ARRAY<OBJECT)"))
     return (
         F.when(F.col("record_id").isNull(), "no id")
         .when((kind == RECORD) & F.col("vector").isNull(), "no vector")
-        .when((kind == RECORD) & (size != dim), "wrong dimension")
+        .when((kind == RECORD) & ((size != dim) if dim is not None else (size < 1)), "wrong dimension")
         .when((kind == RECORD) & F.col("document").isNull() & F.col("metadata").isNull(), "neither document nor metadata")
         .when((kind == RECORD) & F.col("metadata").isNotNull() & ~F.coalesce(F.schema_of_variant(meta).startswith("OBJECT"), F.lit(False)), "metadata isn't an object")
         .when((kind == RECORD) & nested, "nested metadata")
@@ -153,7 +157,7 @@ def problems(dim: int) -> Column:
     )
 
 
-def split_valid(records: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+def split_valid(records: DataFrame, dim: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows that can be taken, and the others with their problem."""
     checked = records.withColumn("problem", problems(dim))
     return checked.where("problem is null").drop("problem"), checked.where("problem is not null")

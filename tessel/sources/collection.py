@@ -7,7 +7,9 @@
 
 Spark's readers and writers do all input and output, so any store they reach will do. A write is one append, which a
 committer makes visible as a whole; nothing is ever changed in place. One writer for each collection is assumed, and
-checked: a write based on an older lsn is refused if its records changed since.
+checked: a write based on an older lsn is refused if its records changed since, or if the lsn is older than the compaction
+of the log, after which that can't be told. The last KEEP snapshots, logs and preimages stay; a state of the past is read
+from the newest snapshot before it and the log behind that.
 """
 
 import threading
@@ -15,15 +17,20 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import CollectionExists, CollectionNotFound, DimensionMismatch, InvalidRecord, RecordNotFound, WriteConflict
+from ..errors import CollectionExists, CollectionNotFound, DimensionMismatch, InvalidRecord, ReadWriteConflict, RecordNotFound, StorageError, WriteConflict
+from ..functions import checksums, vectors
 from ..operators import catalog, changelog, projection, search
 from ..plans import filters
 from ..schema import LOG_TYPE, RECORD_TYPE, TOMBSTONE, CollectionSchema, Record, SearchRequest, split_valid
 
 
+#: Versions of a directory that stay; older ones are deleted.
+KEEP = 10
+
+
 def _deleted():
     return F.col("kind") == TOMBSTONE
 
@@ -51,8 +58,20 @@ class Versions:
     def path(self, n: int) -> str:
         return f"{self.base}/{self.label}-{n}"
 
+    def kept(self) -> list[tuple[int, int]]:
+        """(number, lsn) of the versions that are still there, the newest first."""
+        rows = read_or_empty(self.spark, self.pointer, "n long, lsn long").orderBy(F.desc("n")).limit(KEEP).collect()
+        return [(r.n, r.lsn) for r in rows]
+
+    def retire(self, n: int) -> None:
+        """Deletes the version that has become one too many."""
+        if n >= 0:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(n))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def write(self, df: DataFrame, lsn: int = 0) -> int:
         n = self.current()[0] + 1
+        self.retire(n - KEEP)
         df.write.mode("overwrite").parquet(self.path(n))
         self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(lsn).cast("long").alias("lsn")).write.mode("append").parquet(self.pointer)
         return n
@@ -75,16 +94,39 @@ class Collection:
     def max_lsn(self) -> int:
         return max(self.log.agg(F.max("lsn")).first()[0] or 0, self.snapshots.current()[1])
 
-    def read(self, mode: str = "latest", as_of: int | None = None, lag_bound: int | None = None, min_lsn: int | None = None) -> DataFrame:
-        """Live records.
+    def compacted_lsn(self) -> int:
+        """The log holds all changes behind this lsn."""
+        return self.logs.current()[1]
+
+    def _snapshot(self, n: int) -> DataFrame:
+        return self.spark.read.schema(RECORD_TYPE).parquet(self.snapshots.path(n)) if n else self.spark.createDataFrame([], RECORD_TYPE)
+
+    def _folded(self, n: int, visible: int, log: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """A snapshot with the committed changes behind it; of certain keys only, which are picked before anything is folded."""
+        held = self._snapshot(n)
+        if keys is not None:
+            held, log = (x.join(keys, "record_id", "left_semi") for x in (held, log))
+        base = held.select(F.lit(visible).cast("long").alias("lsn"), F.lit("prepare").alias("phase"), *RECORD_TYPE.names)
+        tail = changelog.replayed(log, visible).select(*LOG_TYPE.names)
+        return changelog.fold(base.unionByName(tail), _deleted()).select(*RECORD_TYPE.names)
+
+    def ids(self) -> DataFrame:
+        """record_id of all live records."""
+        return self.read().select("record_id")
+
+    def read(self, mode: str = "latest", as_of: int | None = None, lag_bound: int | None = None, min_lsn: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Live records; keys: of these record_ids only.
 
         latest: all committed changes. visible: the newest snapshot. bounded: the snapshot if it's at most lag_bound
         changes behind, else latest. session: the snapshot if it holds min_lsn, else latest. as_of: the state at an lsn.
         """
         if as_of is not None:
-            return changelog.fold(changelog.committed(self.log.where(F.col("lsn") <= as_of)).select(*LOG_TYPE.names), _deleted()).select(*RECORD_TYPE.names)
+            n, visible = next(((n, lsn) for n, lsn in self.snapshots.kept() if lsn <= as_of), (0, 0))
+            if self.compacted_lsn() > visible:
+                raise StorageError(f"the log behind lsn {visible}, the newest snapshot before {as_of}, is compacted")
+            return self._folded(n, visible, self.log.where(F.col("lsn") <= as_of), keys)
         n, visible = self.snapshots.current()
-        held = self.spark.read.schema(RECORD_TYPE).parquet(self.snapshots.path(n)) if n else self.spark.createDataFrame([], RECORD_TYPE)
+        held = self._snapshot(n) if keys is None else self._snapshot(n).join(keys, "record_id", "left_semi")
         if mode == "visible":
             return held
         if mode == "bounded" and self.log.where((F.col("lsn") > visible) & (F.col("phase") == "prepare")).count() <= (lag_bound or 0):
@@ -93,50 +135,59 @@ class Collection:
             return held
         if mode not in ("latest", "bounded", "session"):
             raise InvalidRecord(f"unknown read mode {mode}")
-        tail = changelog.replayed(self.log, visible).select(*LOG_TYPE.names)
-        base = held.select(F.lit(visible).cast("long").alias("lsn"), F.lit("prepare").alias("phase"), *RECORD_TYPE.names)
-        return changelog.fold(base.unionByName(tail), _deleted()).select(*RECORD_TYPE.names)
+        return self._folded(n, visible, self.log, keys)
 
-    def write(self, changes: DataFrame, base_lsn: int | None = None) -> DataFrame:
+    def write(self, changes: DataFrame, base_lsn: int | None = None, reads: Iterable[str] = ()) -> DataFrame:
         """Appends changes (rows of RECORD_TYPE, at most one for each record) and returns their preimages.
 
-        base_lsn: what the writer has read; a record that changed since makes the write fail.
+        base_lsn: what the writer has read; a record that changed since makes the write fail, be it one to be written or,
+        of those in reads, one that was read.
         """
         changes = changes.select(*RECORD_TYPE.names)
-        good, bad = split_valid(changes, self.schema.dim)
+        good, bad = split_valid(changes, None if self.schema.resize else self.schema.dim)
         wrong = bad.limit(1).collect()
         if wrong:
             error = DimensionMismatch if wrong[0].problem == "wrong dimension" else InvalidRecord
             raise error(f"{wrong[0].record_id}: {wrong[0].problem}")
+        twice = good.groupBy("record_id").count().where("count > 1").limit(1).collect()
+        if twice:
+            raise InvalidRecord(f"{twice[0].record_id}: two changes in one batch")
         with self.lock:
-            return self._append(good, base_lsn)
+            return self._append(good, base_lsn, list(reads))
 
-    def _append(self, good: DataFrame, base_lsn: int | None) -> DataFrame:
+    def _append(self, good: DataFrame, base_lsn: int | None, reads: list[str]) -> DataFrame:
         last = self.max_lsn()
         if base_lsn is not None and base_lsn < last:
-            met = self.log.where(F.col("lsn") > base_lsn).join(good.select("record_id"), "record_id", "left_semi").limit(1).collect()
-            if met:
-                raise WriteConflict(met[0].record_id)
+            if base_lsn < self.compacted_lsn():
+                raise WriteConflict(f"what changed since lsn {base_lsn} is compacted: read again")
+            since = self.log.where(F.col("lsn") > base_lsn)
+            for ids, error in ((good.select("record_id"), WriteConflict), (self.spark.createDataFrame([(i,) for i in reads], "record_id string"), ReadWriteConflict)):
+                met = since.join(ids, "record_id", "left_semi").limit(1).collect()
+                if met:
+                    raise error(met[0].record_id)
         # The preimage is fixed before the append: a lazy read would see the new state.
-        n = self.preimages.write(changelog.batch_preimages(good.select("record_id"), self.read()), last)
-        prepared = changelog.numbered(good, last, ["record_id"]).withColumn("phase", F.lit("prepare")).select(*LOG_TYPE.names)
+        keys = good.select("record_id")
+        n = self.preimages.write(changelog.batch_preimages(keys, self.read(keys=keys)), last)
+        # A change and its marker come from one row, so they have one lsn however often the rows are numbered.
+        numbered = changelog.numbered(good, last, ["record_id"])
+        prepared = F.struct("lsn", F.lit("prepare").alias("phase"), *RECORD_TYPE.names)
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD_TYPE.fields[2:]]
-        markers = prepared.select("lsn", F.lit("commit").alias("phase"), "record_id", F.lit("RECORD").alias("kind"), *empty)
-        prepared.unionByName(markers).write.mode("append").parquet(self.log_path)
+        marker = F.struct("lsn", F.lit("commit").alias("phase"), "record_id", F.lit("RECORD").alias("kind"), *empty)
+        numbered.select(F.explode(F.array(prepared, marker)).alias("row")).select("row.*").write.mode("append").parquet(self.log_path)
         return self.spark.read.parquet(self.preimages.path(n))
 
-    def insert(self, records: Iterable[Record], base_lsn: int | None = None) -> list[Record]:
+    def insert(self, records: Iterable[Record], base_lsn: int | None = None, reads: Iterable[str] = ()) -> list[Record]:
         """Upserts and returns what was there before."""
         records = list(records)
         for r in records:
-            if r.vector is not None and r.vector.size != self.schema.dim:
+            if r.vector is not None and r.vector.size != self.schema.dim and not self.schema.resize:
                 raise DimensionMismatch(f"{r.record_id}: {r.vector.size} components instead of {self.schema.dim}")
-        return self._preimages(self.write(self.spark.createDataFrame([r.row() for r in records], RECORD_TYPE), base_lsn), [r.record_id for r in records])
+        return self._preimages(self.write(self.spark.createDataFrame([r.row() for r in records], RECORD_TYPE), base_lsn, reads), [r.record_id for r in records])
 
-    def delete(self, ids: Iterable[str], base_lsn: int | None = None) -> list[Record]:
+    def delete(self, ids: Iterable[str], base_lsn: int | None = None, reads: Iterable[str] = ()) -> list[Record]:
         """Deletes and returns what was there before; an unknown id is no error."""
         ids = list(ids)
-        return self._preimages(self.write(self.spark.createDataFrame([Record.tombstone(i).row() for i in ids], RECORD_TYPE), base_lsn), ids)
+        return self._preimages(self.write(self.spark.createDataFrame([Record.tombstone(i).row() for i in ids], RECORD_TYPE), base_lsn, reads), ids)
 
     def _preimages(self, before: DataFrame, ids: list[str]) -> list[Record]:
         found = {r.record_id: r for r in before.where("previous_kind is not null").select("record_id", *(F.col(f"previous_{c}").alias(c) for c in RECORD_TYPE.names[1:])).collect()}
@@ -156,13 +207,26 @@ class Collection:
         condition = filters.where(request.where, metadata=F.col("meta")) & filters.where_document(request.where_document, F.col("document"), F.col("document_is_text"))
         return rows.where(condition).drop("meta")
 
+    def shaped(self, vector: Column) -> Column:
+        """A vector as this collection compares it."""
+        if self.schema.resize:
+            vector = vectors.fitted(vector, self.schema.dim, self.schema.pad)
+        return vectors.normalized(vector) if self.schema.normalize else vector
+
     def search(self, request: SearchRequest, mode: str = "latest") -> DataFrame:
-        """The k nearest records that pass both filters, with rank and distance."""
-        request.validate(self.schema.dim)
-        return search.knn(self.filtered(request, self.read(mode)), request.vector.tolist(), request.k, request.metric or self.schema.metric).orderBy("rank")
+        """The k nearest records that pass both filters, with rank and distance. A result whose checksum isn't that of its content fails the query."""
+        request.validate(None if self.schema.resize else self.schema.dim)
+        rows = self.filtered(request, self.read(mode)).withColumn("compared", self.shaped(F.col("vector")))
+        query = self.shaped(vectors.doubles(request.vector.tolist()))
+        found = search.knn(rows, query, request.k, request.metric or self.schema.metric, vector="compared").drop("compared")
+        sound = checksums.record_digest(F.struct(*RECORD_TYPE.names)) == F.col("checksum")
+        checked = F.when(F.col("checksum").isNull() | sound, True).otherwise(F.raise_error(F.concat(F.lit("checksum mismatch: "), "record_id")).cast("boolean"))
+        return found.where(checked).orderBy("rank")
 
     def search_batch(self, queries: DataFrame, k: int, metric: str | None = None) -> DataFrame:
-        return search.knn_batch(self.read(), queries, k, metric or self.schema.metric)
+        """queries: (query_id, vector)."""
+        rows, queries = (x.withColumn("vector", self.shaped(F.col("vector"))) for x in (self.read(), queries))
+        return search.knn_batch(rows, queries, k, metric or self.schema.metric)
 
     def tsne(self, ids: list[str] | None = None, perplexity: float = 30.0, seed: int = 42) -> DataFrame:
         rows = self.read()
@@ -216,7 +280,7 @@ class Store:
     def create_collection(self, schema: CollectionSchema) -> Collection:
         if not self.catalog.where(F.col("name") == schema.name).isEmpty():
             raise CollectionExists(schema.name)
-        row = self.spark.createDataFrame([(schema.name, schema.dim, schema.vector_type, schema.metric, schema.checksum_algorithm, schema.checksum)], "name string, dim int, vector_type string, metric string, checksum_algorithm string, checksum string")
+        row = self.spark.createDataFrame([(schema.name, schema.dim, schema.vector_type, schema.metric, schema.checksum_algorithm, schema.checksum, schema.normalize, schema.resize, schema.pad)], catalog.COLUMNS.split(", created_at")[0])
         self.versions.write(self.catalog.unionByName(row.select("*", F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))))
         return Collection(self.spark, self.root, schema)
 
@@ -225,7 +289,15 @@ class Store:
         if not rows:
             raise CollectionNotFound(name)
         r = rows[0]
-        return Collection(self.spark, self.root, CollectionSchema(r.name, r.dim, r.vector_type, r.metric, r.checksum_algorithm, r.checksum))
+        return Collection(self.spark, self.root, CollectionSchema(r.name, r.dim, r.vector_type, r.metric, r.checksum_algorithm, r.checksum, bool(r.normalize), bool(r.resize), r.pad or 0.0))
+
+    def find(self, name_pattern: str | None = None, vector_type: str | None = None, min_dim: int | None = None, max_dim: int | None = None) -> DataFrame:
+        """Rows of the catalog that meet all bounds given."""
+        return catalog.search(self.catalog, name_pattern, vector_type, min_dim, max_dim)
+
+    def damaged(self) -> DataFrame:
+        """Rows of the catalog whose checksum isn't that of their columns."""
+        return catalog.damaged(self.catalog)
 
     def list_collections(self) -> list[str]:
         return [r.name for r in catalog.search(self.catalog).select("name").collect()]

@@ -4,12 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.errors import ChecksumMismatch, CollectionExists, CollectionNotFound, DimensionMismatch, InvalidRecord, RecordNotFound, WriteConflict
+from tessel.errors import ChecksumMismatch, CollectionExists, CollectionNotFound, DimensionMismatch, InvalidRecord, ReadWriteConflict, RecordNotFound, StorageError, WriteConflict
 from tessel.functions import checksums, text
 from tessel.operators import catalog, changelog
 from tessel.schema import LOG_TYPE, NONEXISTENT, RECORD_TYPE, CollectionSchema, Record, SearchRequest, split_valid
 from tessel.sources import codecs
-from tessel.sources.collection import Store
+from tessel.sources.collection import Store, Versions
 from tessel.streaming import fold
 
 
@@ -65,6 +65,72 @@ def test_life_of_a_collection(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "backup")).count() == 1
 
 
+def test_history_outlives_compaction(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    state = lambda **how: {r.record_id: r.document for r in c.read(**how).collect()}
+    c.insert([record(1), record(2)])
+    first = c.max_lsn()
+    c.insert([Record("r2", [0, 0, 1.0], "changed"), record(3)])
+    second, before = c.flush(), state()
+    c.insert([record(4)])
+    c.delete(["r1"])
+    last = c.max_lsn()
+    c.compact()
+    assert state(as_of=second) == before and len(before) == 3 and state(as_of=last) == state() and set(state()) == {"r2", "r3", "r4"}
+    with pytest.raises(StorageError):
+        c.read(as_of=first)
+    with pytest.raises(WriteConflict):  # r2 changed since, which only the compacted part of the log could tell
+        c.insert([record(2)], base_lsn=first)
+    c.insert([record(2)], base_lsn=last)
+    assert state(as_of=second) == before
+    with pytest.raises(InvalidRecord):
+        c.insert([record(8), record(8)])
+    base = c.max_lsn()
+    c.insert([record(3)])
+    with pytest.raises(ReadWriteConflict):
+        c.insert([record(9)], base_lsn=base, reads=["r2", "r3"])
+    c.insert([record(9)], base_lsn=base, reads=["r2"])
+    assert {r.record_id for r in c.ids().collect()} == {"r2", "r3", "r4", "r9"}
+    rows = c.log.groupBy("lsn", "record_id").agg(F.collect_set("phase").alias("phases")).collect()
+    assert rows and all(set(r.phases) == {"prepare", "commit"} for r in rows if r.lsn > last)
+
+
+def test_old_versions_go(spark, tmp_path):
+    versions = Versions(spark, str(tmp_path), "v", "pointer")
+    for i in range(13):
+        versions.write(spark.range(1), i)
+    assert sorted(int(p.name[2:]) for p in tmp_path.glob("v-*")) == list(range(4, 14))
+    assert versions.current() == (13, 12) and versions.kept()[-1] == (4, 3)
+
+
+def test_collections_shape_vectors(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create_collection(CollectionSchema("unit", 2, metric="ip", normalize=True, resize=True, pad=1.0))
+    c = store.collection("unit")
+    c.insert([Record("long", [30.0, 40.0, 99.0], "cut"), Record("short", [0.1], "padded"), Record("zero", [0.0, 0.0], "as it is")])
+    got = {r.record_id: r.distance for r in c.search(SearchRequest([0.0, 5.0], 3)).collect()}
+    assert {k: round(v, 4) for k, v in got.items()} == {"long": 0.8, "short": round(1 / 1.01**0.5, 4), "zero": 0.0}
+    assert store.find("uni", max_dim=2).count() == 1 and store.damaged().count() == 0
+
+
+def test_damaged_results_fail(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    c.insert([record(i) for i in range(3)])
+    bad = spark.createDataFrame([("r7", "RECORD", [9.0, 0.0, 0.0], "text", True, None, "wrong", "sha256")], RECORD_TYPE)
+    c.write(bad)
+    assert c.search(SearchRequest([0, 0, 0], 3)).count() == 3
+    with pytest.raises(Exception, match="checksum mismatch: r7"):
+        c.search(SearchRequest([9, 0, 0], 1)).collect()
+
+
+def test_a_write_reads_the_keys_of_its_batch(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    c.insert([record(i) for i in range(4)])
+    c.flush()
+    plan = c.read(keys=spark.createDataFrame([("r1",)], "record_id string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 2 and "RepartitionByExpression" not in plan and "Sort" not in plan
+
+
 def test_requests_are_checked():
     request = SearchRequest([1, 2], 3)
     request.validate(2)
@@ -137,7 +203,8 @@ def log(spark, *rows):
 
 def test_log_rules(spark):
     entries = log(spark, (1, "prepare", "a", False), (2, "prepare", "b", False), (3, "prepare", "a", True), (4, "prepare", "c", False), (5, "prepare", "a", False), (0, "commit", "a", False), (0, "commit", "b", False))
-    assert [r.lsn for r in changelog.committed(entries).collect()] == [1, 2, 3, 5]
+    assert {r.lsn for r in changelog.committed(entries).collect()} == {1, 2, 3, 5}
+    assert [r.lsn for r in changelog.replay(entries, 1).collect()] == [2, 3, 5]
     assert {r.record_id for r in changelog.replayed(entries, 2).collect()} == {"a"}
     left = {(r.lsn, r.phase, r.record_id) for r in changelog.compacted(entries, 2).collect()}
     assert left == {(3, "prepare", "a"), (4, "prepare", "c"), (5, "prepare", "a"), (0, "commit", "a")}
@@ -150,7 +217,7 @@ def test_log_rules(spark):
 def test_conflicts(spark):
     rows = [(1, "r", "write", 0, 10), (2, "r", "write", 5, None), (3, "s", "read", 0, None), (4, "s", "write", 1, 2), (5, "t", "write", 0, None)]
     accesses = spark.createDataFrame(rows, "version int, record_id string, access string, created_at int, committed_at int")
-    assert {tuple(r) for r in changelog.conflicts(accesses).collect()} == {(2, 1, "r", "write-write"), (3, 4, "s", "read-write")}
+    assert {tuple(r) for r in changelog.conflicts(accesses).collect()} == {(2, "r", "write-write", 1, 1), (3, "s", "read-write", 1, 4)}
 
 
 def test_catalog(spark):
