@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import owners as own
 from .lineage import slices
-from .textarrays import U64, between, covered, mix, runs, word_names
+from .textarrays import U64, between, covered, mix, prefix_sums, runs, span_hash, word_names
 
 #: Rounds that name pairs, after the one that names words and runs.
 ROUNDS = 4
@@ -368,11 +368,9 @@ class Windows:
 
     def hashes(self) -> np.ndarray:
         """Of the anchor and the words beside it."""
-        h = mix(self.name + self.skip.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-        for k in range(self.window):
-            beside = (k < self.skip) | (k >= self.skip + self.size)
-            h = np.where(beside, mix(h + self.word[self.at + k] + U64(k)), h)
-        return h
+        sums, middle = prefix_sums(self.word), self.at + self.skip
+        left, right = span_hash(sums, self.at, middle), span_hash(sums, middle + self.size, self.at + self.window)
+        return mix(mix(self.name + self.skip.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) + left + right * U64(0xD6E8FEB86659FD93))
 
     def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which windows are equal in pairs: the anchor by its name and place, what stands beside it word by word."""
