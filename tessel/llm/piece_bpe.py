@@ -38,6 +38,7 @@ class Codec:
         self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
         if len(self.bytes_at) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids) or any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("this model is not of the merge type with byte pieces and leading space marks")
+        self.sizes, self.names = list(map(len, self.pieces)), list(map(str, range(len(self.pieces))))
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self.merged(p) == [i]:  # other pieces never come out
@@ -69,30 +70,30 @@ class Codec:
 
     def stretch(self, text: str) -> list[int]:
         """Ids of a text that has space marks in front only."""
-        n = len(text)
-        last = [-1] * (n + 1)  # last token of each prefix; -1: the prefix ends in a character without a piece, or is empty
-        compatible = self.compatible
+        last = [-1] * (len(text) + 1)  # last token of the prefix up to each place; -1: it ends in a character without a piece. The entry behind the end stands for the empty prefix
+        known, settled = self.compatible.get, -1
         for end, (piece, size) in self.automaton.iter(text):
-            end += 1
-            if last[end] >= 0:
-                continue
-            before = last[end - size]
-            if before < 0:
+            if end != settled:
+                before = last[end - size]
+                if before >= 0:
+                    ok = known(before << 20 | piece)
+                    if ok is None:
+                        ok = self.fits(before, piece)
+                    if not ok:
+                        continue
                 last[end] = piece
-            else:
-                ok = compatible.get(before << 20 | piece)
-                if ok or ok is None and self.fits(before, piece):
-                    last[end] = piece
-        out, at = [], n
-        while at:
+                settled = end
+        out, at, sizes = [], len(text) - 1, self.sizes
+        while at >= 0:
             piece = last[at]
             if piece < 0:
-                out.extend(self.bytes_at[b] for b in reversed(text[at - 1].encode()))
+                out.extend(self.bytes_at[b] for b in reversed(text[at].encode()))
                 at -= 1
             else:
                 out.append(piece)
-                at -= len(self.pieces[piece])
-        return out[::-1]
+                at -= sizes[piece]
+        out.reverse()
+        return out
 
     def decoded(self, ids: list[int]) -> bytes:
         return b"".join([self.value[i] for i in ids])
@@ -113,8 +114,8 @@ class Codec:
         """Two generations are remembered: what is asked for again moves to the new one, the rest goes with the old one."""
         x = self.older.get(part)
         if x is None:
-            ids = self.stretch(part)
-            x = (",".join(map(str, ids)), self.decoded(ids).decode(errors="replace"))
+            ids, names = self.stretch(part), self.names
+            x = (",".join([names[i] for i in ids]), self.decoded(ids).decode(errors="replace"))
             if len(part) > 64:
                 return x
         if len(self.known) >= self.remember:
