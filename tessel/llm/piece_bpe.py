@@ -20,6 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from .lineage import slices
 
@@ -27,9 +28,26 @@ MARK = "▁"
 _loaded: dict[str, "Codec"] = {}
 
 
+def foreign(proto) -> str | None:
+    """What a model asks for that this codec doesn't do, or None."""
+    own, normal = proto.trainer_spec, proto.normalizer_spec
+    if own.model_type != own.BPE:
+        return "a model type other than merges"
+    if own.treat_whitespace_as_suffix:
+        return "space marks behind words"
+    if normal.precompiled_charsmap or normal.remove_extra_whitespaces or not normal.add_dummy_prefix or not normal.escape_whitespaces:
+        return "a normaliser"
+    if any(p.type == p.USER_DEFINED for p in proto.pieces):
+        return "pieces defined by a user"
+    return None
+
+
 class Codec:
     def __init__(self, model: str, remember: int = 100_000):
         lib = sentencepiece.SentencePieceProcessor(model_file=model)
+        reason = foreign(sentencepiece_model_pb2.ModelProto.FromString(lib.serialized_model_proto()))
+        if reason:
+            raise ValueError(f"this model asks for {reason}, which is not done here")
         self.pieces = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) or lib.is_byte(i) for i in range(len(self.pieces))]
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if lib.is_byte(i)}

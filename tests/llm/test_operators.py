@@ -435,6 +435,24 @@ def test_sentencepiece(docs, empty):
     assert piece_bpe.encoded(empty, model).count() == 0
 
 
+def test_other_kinds_of_models_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        plain = f.read()
+    changes = {
+        None: lambda m: None,
+        "a model type other than merges": lambda m: setattr(m.trainer_spec, "model_type", m.trainer_spec.UNIGRAM),
+        "space marks behind words": lambda m: setattr(m.trainer_spec, "treat_whitespace_as_suffix", True),
+        "a normaliser": lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True),
+        "pieces defined by a user": lambda m: setattr(m.pieces[-1], "type", m.pieces[-1].USER_DEFINED),
+    }
+    for reason, change in changes.items():
+        model = sentencepiece_model_pb2.ModelProto.FromString(plain)
+        change(model)
+        assert piece_bpe.foreign(model) == reason
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"), ("block", "dup.org", "/"), ("allow", "dup.org", "/"), ("block", "deep.org", "/a/b")]
 
 
