@@ -43,7 +43,7 @@ def foreign(proto) -> str | None:
 
 
 class Codec:
-    def __init__(self, model: str, remember: int = 100_000):
+    def __init__(self, model: str, remember: int = 200_000):
         lib = sentencepiece.SentencePieceProcessor(model_file=model)
         reason = foreign(sentencepiece_model_pb2.ModelProto.FromString(lib.serialized_model_proto()))
         if reason:
@@ -57,13 +57,13 @@ class Codec:
         if len(self.bytes_at) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids) or any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("this model is not of the merge type with byte pieces and leading space marks")
         self.sizes, self.names = list(map(len, self.pieces)), list(map(str, range(len(self.pieces))))
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.tables = ahocorasick.Automaton(), {}
         for p, i in self.ids.items():
             if self.merged(p) == [i]:  # other pieces never come out
-                self.automaton.add_word(p, (i, len(p)))
+                self.tables[i] = {-1: True}  # by the last token before: whether the two are compatible
+                self.automaton.add_word(p, (i, len(p), self.tables[i].get))
         self.automaton.make_automaton()
-        self.compatible: dict[int, bool] = {}  # key: first id * 2**20 + second id
-        self.remember, self.known, self.older = remember, {}, {}
+        self.n_pairs, self.remember, self.known, self.older = 0, remember, {}, {}
 
     def merged(self, text: str) -> list[int]:
         """The definition: join the neighbours whose joined text is the piece of the best score, the leftmost first, until none is left. For short texts."""
@@ -79,28 +79,26 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, a: int, b: int) -> bool:
-        ok = self.compatible.get(a << 20 | b)
-        if ok is None:
-            if len(self.compatible) >= 3 * self.remember:
-                self.compatible.clear()
-            ok = self.compatible[a << 20 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+        if self.n_pairs >= 3 * self.remember:
+            for t in self.tables.values():
+                t.clear()
+                t[-1] = True
+            self.n_pairs = 0
+        self.n_pairs += 1
+        ok = self.tables[b][a] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         return ok
 
     def stretch(self, text: str) -> list[int]:
         """Ids of a text that has space marks in front only."""
         last = [-1] * (len(text) + 1)  # last token of the prefix up to each place; -1: it ends in a character without a piece. The entry behind the end stands for the empty prefix
-        known, settled = self.compatible.get, -1
-        for end, (piece, size) in self.automaton.iter(text):
+        settled = -1
+        for end, (piece, size, compatible) in self.automaton.iter(text):
             if end != settled:
                 before = last[end - size]
-                if before >= 0:
-                    ok = known(before << 20 | piece)
-                    if ok is None:
-                        ok = self.fits(before, piece)
-                    if not ok:
-                        continue
-                last[end] = piece
-                settled = end
+                ok = compatible(before)
+                if ok or ok is None and self.fits(before, piece):
+                    last[end] = piece
+                    settled = end
         out, at, sizes = [], len(text) - 1, self.sizes
         while at >= 0:
             piece = last[at]
