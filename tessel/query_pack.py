@@ -12,7 +12,7 @@ from .functions import checksums, text, vectors
 from .operators import catalog, changelog, projection, search
 from .plans import filters
 from .schema import RECORD, RECORD_TYPE, TOMBSTONE, CollectionSchema
-from .sources import codecs
+from .sources import codecs, tenants
 from .sources.collection import Store
 from .streaming import fold
 
@@ -336,6 +336,40 @@ def conflict_compacted(spark, d):
     return spark.createDataFrame(out, "base string, refused boolean")
 
 
+KEPT = r"""SELECT DISTINCT unnest(regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN source || ' changed' ELSE coalesce(text, '') END), '[\p{L}\p{N}\p{M}_]+')) AS term, doc_id::VARCHAR AS record_id
+    FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 = 0"""
+
+
+@query(KEPT)
+def terms_kept(spark, d):
+    """A collection's term table, written before a fifth of its documents was deleted and a third, deleted ones among them, written anew."""
+    c = Store(spark, scratch(spark)).create_collection(CollectionSchema("texts", 1))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.coalesce("text", F.lit("")).alias("document"), "source")
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD_TYPE.fields}
+    own = {"kind": F.lit(RECORD).alias("kind"), "vector": F.array(F.lit(0.0).cast("float")).alias("vector"), "document_is_text": F.lit(True).alias("document_is_text")}
+    shape = lambda df, own: df.select(*(n if n in ("record_id", "document") and n not in own else own.get(n, blank[n]) for n in RECORD_TYPE.names))
+    c.write(shape(rows, own))
+    c.index()
+    c.write(shape(rows.where("record_id % 5 = 0"), {"kind": F.lit(TOMBSTONE).alias("kind"), "document": blank["document"]}))
+    c.write(shape(rows.where("record_id % 3 = 0").withColumn("document", F.concat("source", F.lit(" changed"))), own))
+    return c.terms()
+
+
+@query("SELECT count(*) AS n, count(*) AS n_lsns, true AS later FROM customer")
+def lsn_allocation(spark, d):
+    """Numbers behind 100 for all customers: each its own."""
+    rows = changelog.numbered(table(spark, d, "customer").select("c_custkey"), 100, ["c_custkey"])
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("lsn").alias("n_lsns"), (F.min("lsn") > 100).alias("later"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7")
+def tenant_read(spark, d):
+    """Customers as tenants of a table of orders; one of them is read."""
+    path = f"{scratch(spark)}/orders"
+    tenants.write(table(spark, d, "orders").select("o_orderkey", "o_custkey"), path, "o_custkey", 16)
+    return tenants.read(spark, path, "o_custkey", 7, 16)
+
+
 # The events table as a change log: event_id is the lsn, user_id the key, an error deletes.
 def _gone():
     return F.col("event_type") == "error"

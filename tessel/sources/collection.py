@@ -3,13 +3,15 @@
     <root>/<name>/log-<n>/      Parquet of LOG_TYPE, one append for each write; compaction writes the next n
     <root>/<name>/snapshot-<n>/ live records at a visible lsn
     <root>/<name>/pointer/      (n, visible_lsn), appended after its snapshot is complete; the highest n counts
+    <root>/<name>/terms-<n>/    (term, record_id) at an lsn, where index() was called; fields-<n>/ (path, value, record_id)
     <root>/catalog-<n>/         the catalog; <root>/catalog-pointer/ as above
 
 Spark's readers and writers do all input and output, so any store they reach will do. A write is one append, which a
 committer makes visible as a whole; nothing is ever changed in place. One writer for each collection is assumed, and
 checked: a write based on an older lsn is refused if its records changed since, or if the lsn is older than the compaction
 of the log, after which that can't be told. The last KEEP snapshots, logs and preimages stay; a state of the past is read
-from the newest snapshot before it and the log behind that.
+from the newest snapshot before it and the log behind that. Snapshots and derived tables are laid out by ranges of their
+first column, sorted within files, so a point or range read skips files and row groups by their statistics.
 """
 
 import threading
@@ -21,14 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CollectionExists, CollectionNotFound, DimensionMismatch, InvalidRecord, ReadWriteConflict, RecordNotFound, StorageError, WriteConflict
-from ..functions import checksums, vectors
-from ..operators import catalog, changelog, projection, search
+from ..functions import checksums, text, vectors
+from ..operators import catalog, changelog, projection, search, strategies
 from ..plans import filters
 from ..schema import LOG_TYPE, RECORD_TYPE, TOMBSTONE, CollectionSchema, Record, SearchRequest, split_valid
 
 
 #: Versions of a directory that stay; older ones are deleted.
 KEEP = 10
+#: A log of more entries, or one whose first entries are mostly old, is worth a compaction.
+LOG_ENTRIES = 1_000_000
+#: The derived tables and the column each is laid out by.
+FIRST = {"terms": "term", "fields": "path"}
 
 
 def _deleted():
@@ -44,6 +50,22 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         raise
 
 
+def clustered(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in ranges of the columns, one for each file, sorted within it."""
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the Parquet files of a directory; their contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    try:
+        return found.load(path).select("path", "length")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "path string, length long")
+        raise
+
+
 class Versions:
     """Numbered directories with a pointer table that names the valid ones."""
 
@@ -82,6 +104,7 @@ class Collection:
         self.spark, self.schema, self.base = spark, schema, f"{root}/{schema.name}"
         self.snapshots = Versions(spark, self.base, "snapshot", "pointer")
         self.preimages = Versions(spark, self.base, "preimages", "preimages-pointer")
+        self.derived = {label: Versions(spark, self.base, label, f"{label}-pointer") for label in FIRST}
 
         self.logs = Versions(spark, self.base, "log", "log-pointer")
         self.log_path = self.logs.path(self.logs.current()[0])
@@ -213,12 +236,49 @@ class Collection:
             vector = vectors.fitted(vector, self.schema.dim, self.schema.pad)
         return vectors.normalized(vector) if self.schema.normalize else vector
 
-    def search(self, request: SearchRequest, mode: str = "latest") -> DataFrame:
-        """The k nearest records that pass both filters, with rank and distance. A result whose checksum isn't that of its content fails the query."""
+    @staticmethod
+    def _derive(label: str, records: DataFrame) -> DataFrame:
+        if label == "terms":
+            return text.term_rows(records.where("document_is_text"), "record_id", "document")
+        return text.field_rows(records.where("not document_is_text"), "record_id", "document")
+
+    def index(self) -> int:
+        """Writes the term and field tables anew, from the state at the lsn that is returned; from then on flush() keeps them up to date."""
+        with self.lock:
+            last, state = self.max_lsn(), self.read()
+            for label, versions in self.derived.items():
+                versions.write(clustered(self._derive(label, state), FIRST[label], "record_id"), last)
+        return last
+
+    def _postings(self, label: str) -> DataFrame:
+        """A derived table as of now: what is kept, without the records that changed since, and what these hold now.
+
+        Without a kept table, or with one from before the log's compaction, all comes from the records.
+        """
+        n, lsn = self.derived[label].current()
+        if not n or lsn < self.compacted_lsn():
+            return self._derive(label, self.read())
+        changed = changelog.replayed(self.log, lsn).select("record_id").distinct()
+        held = self.spark.read.parquet(self.derived[label].path(n)).join(changed, "record_id", "left_anti")
+        return held.unionByName(self._derive(label, self.read(keys=changed)))
+
+    def terms(self) -> DataFrame:
+        """(term, record_id) of all live records whose document is a text."""
+        return self._postings("terms").select("term", "record_id")
+
+    def fields(self) -> DataFrame:
+        """(path, value, record_id) of all live records whose document is an object."""
+        return self._postings("fields").select("path", "value", "record_id")
+
+    def search(self, request: SearchRequest, mode: str = "latest", strategy: str = "exact") -> DataFrame:
+        """The k nearest records that pass both filters, with rank and distance. A result whose checksum isn't that of its content fails the query.
+
+        strategy: one of strategies.STRATEGIES.
+        """
         request.validate(None if self.schema.resize else self.schema.dim)
         rows = self.filtered(request, self.read(mode)).withColumn("compared", self.shaped(F.col("vector")))
         query = self.shaped(vectors.doubles(request.vector.tolist()))
-        found = search.knn(rows, query, request.k, request.metric or self.schema.metric, vector="compared").drop("compared")
+        found = strategies.strategy(strategy)(rows, query, request.k, request.metric or self.schema.metric, "record_id", "compared").drop("compared")
         sound = checksums.record_digest(F.struct(*RECORD_TYPE.names)) == F.col("checksum")
         checked = F.when(F.col("checksum").isNull() | sound, True).otherwise(F.raise_error(F.concat(F.lit("checksum mismatch: "), "record_id")).cast("boolean"))
         return found.where(checked).orderBy("rank")
@@ -236,7 +296,10 @@ class Collection:
         """Writes a snapshot of all committed changes; returns its visible lsn."""
         with self.lock:
             last = self.max_lsn()
-            self.snapshots.write(self.read(), last)
+            self.snapshots.write(clustered(self.read(), "record_id"), last)
+            for label, versions in self.derived.items():
+                if versions.current()[0]:
+                    versions.write(clustered(self._postings(label), FIRST[label], "record_id"), last)
         return last
 
     def compact(self) -> None:
@@ -249,10 +312,50 @@ class Collection:
         n = self.logs.write(changelog.compacted(self.log, visible).select(*LOG_TYPE.names), visible)
         self.log_path = self.logs.path(n)
 
+    def log_statistics(self) -> DataFrame:
+        """One row: changelog.log_statistics() with n_files, n_bytes and needs_compaction."""
+        size = files(self.spark, self.log_path).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).first()
+        visible = self.snapshots.current()[1]
+        old = changelog.compaction_benefit(self.log.where("phase = 'prepare'"), visible).first().worthwhile
+        needed = (F.col("n_entries") > LOG_ENTRIES) | F.lit(bool(old))
+        return changelog.log_statistics(self.log).select("*", F.lit(size.n_files).alias("n_files"), F.lit(size.n_bytes).alias("n_bytes"), needed.alias("needs_compaction"))
+
+    def unreadable(self) -> list[str]:
+        """Files of the log that can't be read. Reads and writes of a collection with such a file fail, and change nothing."""
+        listed = files(self.spark, self.log_path).select(F.substring_index("path", "/", -1).alias("file"))
+        rows = self.spark.read.schema(LOG_TYPE).option("ignoreCorruptFiles", True)
+        suspects = listed
+        if not listed.isEmpty():  # a file whose rows come is sound; what is left is damaged or has no rows
+            seen = rows.parquet(self.log_path).select(F.col("_metadata.file_name").alias("file"), "lsn").where("lsn is not null").select("file").distinct()
+            suspects = listed.join(seen, "file", "left_anti")
+        bad = []
+        for r in suspects.orderBy("file").toLocalIterator():
+            try:
+                self.spark.read.schema(LOG_TYPE).parquet(f"{self.log_path}/{r.file}").agg(F.max("lsn")).collect()
+            except Exception:  # whatever the reader raises, the file can't be read
+                bad.append(r.file)
+        return bad
+
+    def checked(self) -> "Collection":
+        """This collection; a damaged log is an error that names the files."""
+        bad = self.unreadable()
+        if bad:
+            raise StorageError(f"{self.log_path}: unreadable files: {', '.join(bad)}")
+        return self
+
+    def repair(self) -> list[str]:
+        """Goes on with a log of the readable files; returns the others' names. The damaged log's directory stays as a version of its own."""
+        with self.lock:
+            bad = self.unreadable()
+            if bad:
+                sound = self.spark.read.schema(LOG_TYPE).option("ignoreCorruptFiles", True).parquet(self.log_path)
+                self.log_path = self.logs.path(self.logs.write(sound, self.compacted_lsn()))
+        return bad
+
     def checkpoint(self) -> None:
         """A snapshot, then a compaction where it pays: what closing a collection does."""
         self.flush()
-        if changelog.compaction_benefit(self.log.where("phase = 'prepare'"), self.snapshots.current()[1]).first().worthwhile:
+        if self.log_statistics().first().needs_compaction:
             self.compact()
 
     def verify(self) -> DataFrame:

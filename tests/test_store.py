@@ -266,3 +266,121 @@ def test_equality_and_figures(spark):
     df, seen = observed(spark.range(7), top=F.max("id"))
     df.collect()
     assert seen.get == {"rows": 7, "top": 6}
+
+
+def test_term_and_field_tables_follow_changes(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    say = lambda i, document: Record(i, [1.0, 0, 0], document)
+    terms = lambda: {(r.term, r.record_id) for r in c.terms().collect()}
+    fields = lambda: {(r.path, r.value, r.record_id) for r in c.fields().collect()}
+    c.insert([say("a", "Red red fox"), say("b", "a fox"), say("c", {"x": {"y": [1, True]}})])
+    plain = terms(), fields()
+    assert plain[0] == {("red", "a"), ("fox", "a"), ("a", "b"), ("fox", "b")}
+    assert {f for f in plain[1] if f[0] == "x.y"} == {("x.y", "1", "c"), ("x.y", "True", "c")}
+    c.index()
+    assert (terms(), fields()) == plain
+    c.insert([say("b", {"z": 2}), say("c", "now text"), say("d", "fox")])
+    c.delete(["a"])
+    after = {("now", "c"), ("text", "c"), ("fox", "d")}, {("z", "2", "b")}
+    assert (terms(), fields()) == after
+    c.flush()
+    assert (terms(), fields()) == after and c.derived["terms"].current()[1] == c.max_lsn()
+    c.compact()
+    c.delete(["d"])
+    assert terms() == after[0] - {("fox", "d")} and fields() == after[1]
+
+
+def test_tables_older_than_the_log_are_not_used(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    c.insert([Record("a", [1.0, 0, 0], "old")])
+    c.index()
+    c.insert([Record("a", [1.0, 0, 0], "new")])
+    c.snapshots.write(c.read(), c.max_lsn())
+    c.compact()
+    assert [r.term for r in c.terms().collect()] == ["new"]
+
+
+def test_snapshots_are_laid_out_by_id(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    c.write(spark.range(2000).selectExpr("concat('r', lpad(7919 * id % 2000, 5, '0')) record_id", "'RECORD' kind", "array(1f, 2f, 3f) vector", "'t' document", "true document_is_text", "string(null) metadata", "string(null) checksum", "string(null) checksum_algorithm"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or small ranges would be put together
+    try:
+        c.flush()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    ranges = sorted((r.least, r.most) for r in c.read("visible").groupBy(F.input_file_name()).agg(F.min("record_id").alias("least"), F.max("record_id").alias("most")).collect())
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_damaged_logs(spark, tmp_path):
+    c = Store(spark, str(tmp_path)).create_collection(CollectionSchema("things", 3))
+    assert c.checked().unreadable() == []
+    c.insert([record(1)])
+    c.insert([record(2)])
+    figures = c.log_statistics().first()
+    assert (figures.n_entries, figures.needs_compaction) == (4, False) and figures.n_files >= 2 and figures.n_bytes > 0
+    assert c.unreadable() == []
+    first = min(tmp_path.glob("things/log-0/*.parquet"), key=lambda p: p.stat().st_mtime)
+    first.write_bytes(b"PAR1 damaged")
+    for crc in tmp_path.glob("things/log-0/.*.crc"):
+        crc.unlink()
+    assert c.unreadable() == [first.name]
+    with pytest.raises(StorageError, match=first.name):
+        c.checked()
+    assert c.repair() == [first.name] and c.checked().repair() == []
+    assert [r.record_id for r in c.read().collect()] == ["r2"]
+
+
+def test_strategies_and_interfaces(spark, tmp_path):
+    from tessel.operators import strategies
+    from tessel.sources import interfaces
+
+    store = Store(spark, str(tmp_path))
+    c = store.create_collection(CollectionSchema("things", 3))
+    assert isinstance(store, interfaces.Collections) and all(isinstance(c, x) for x in (interfaces.Changes, interfaces.Records, interfaces.Searchable))
+    c.insert([record(i) for i in range(6)])
+    near = SearchRequest([2.2, 0, 0], 2)
+    exact, approximate = ([(r.record_id, r["rank"], r.distance) for r in c.search(near, strategy=s).collect()] for s in ("exact", "approximate"))
+    assert exact == approximate and [x[0] for x in exact] == ["r2", "r3"]
+    with pytest.raises(InvalidRecord):
+        c.search(near, strategy="none")
+
+    @strategies.register("first")
+    def first(rows, query, k, metric, key, vector):
+        return strategies.strategy("exact")(rows, query, 1, metric, key, vector)
+
+    try:
+        assert c.search(near, strategy="first").count() == 1
+    finally:
+        del strategies.STRATEGIES["first"]
+
+
+def test_tenants(spark, tmp_path):
+    from tessel.sources import tenants
+
+    rows = spark.range(400).selectExpr("id", "if(id % 3 = 0, 'big', concat('t', id % 7)) as tenant")
+    tenants.write(rows, str(tmp_path / "t"), "tenant", 8, files=2)
+    got = tenants.read(spark, str(tmp_path / "t"), "tenant", "big", 8)
+    assert {r.id for r in got.collect()} == set(range(0, 400, 3)) and got.columns == ["id", "tenant"]
+    assert len(got.inputFiles()) <= len(spark.read.parquet(str(tmp_path / "t")).inputFiles())
+    assert "PartitionFilters: [isnotnull(tenant_slot" in got._jdf.queryExecution().executedPlan().toString()
+    assert tenants.read(spark, str(tmp_path / "t"), "tenant", "nobody", 8).isEmpty()
+
+
+def test_numbers_follow_the_order(spark):
+    rows = changelog.numbered(spark.range(500).selectExpr("7 * id % 500 as key"), 40, ["key"]).orderBy("lsn").collect()
+    assert [r.key for r in rows] == list(range(500)) and rows[0].lsn > 40 and len({r.lsn for r in rows}) == 500
+
+
+def test_meter(spark):
+    from tessel.operators.metrics import Meter
+
+    meter = Meter((0.5, 2))
+    for s in (0.1, 0.5, 1, 9):
+        meter.add("search", s, s > 5)
+    with pytest.raises(ValueError), meter.timed("get"):
+        raise ValueError
+    rows = meter.table(spark).where("name = 'search'").collect()
+    assert [(r.at_most, r.n_at_most) for r in rows] == [(0.5, 2), (2.0, 3), (None, 4)] and (rows[0].n, rows[0].n_failed) == (4, 1)
+    assert meter.table(spark).where("name = 'get'").first().n_failed == 1
