@@ -108,6 +108,8 @@ class Symbols:
         self.name, self.start, self.end, self.left, self.right = name, start, end, left, right
 
     def pick(self, which: np.ndarray) -> "Symbols":
+        if which.dtype == bool:  # places are found once for all columns
+            which = np.flatnonzero(which)
         return Symbols(self.name[which], self.start[which], self.end[which], self.left[which], self.right[which])
 
 
@@ -141,6 +143,8 @@ def route(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Parse:
     """A block's documents, parsed as far as names are known."""
 
+    total: np.ndarray | None = None  # see so_far()
+
     def __init__(self, row: dict, window: int):
         self.heads = row["doc_ids"], row["n_words"]
         self.vocabulary = own.spread(row["vocabulary"]).split()
@@ -192,16 +196,29 @@ class Parse:
 
     def close(self, mask: np.ndarray, s: Symbols, which: np.ndarray) -> None:
         """Takes the windows that hold these symbols' contexts out of the mask."""
+        which = np.flatnonzero(which)
         left, right = s.left[which], s.right[which]
         fits = right - left <= self.window
+        if not fits.any():
+            return
         steps = np.zeros(self.n + 1, dtype=np.int32)
-        np.add.at(steps, np.maximum(right[fits] - self.window, 0), 1)
-        np.add.at(steps, left[fits] + 1, -1)
-        mask &= np.cumsum(steps[:-1]) == 0
+        np.add.at(steps, np.maximum(right[fits] - self.window, 0).astype(np.intp), 1)
+        np.add.at(steps, left[fits].astype(np.intp) + 1, -1)
+        np.cumsum(steps, out=steps)
+        mask &= steps[:-1] == 0
+        if mask is self.open:
+            self.total = None
+
+    def so_far(self) -> np.ndarray:
+        """How many windows in question start before each place; counted again only after some were closed."""
+        if self.total is None:
+            self.total = np.zeros(self.n + 1, dtype=np.int32)
+            np.cumsum(self.open, out=self.total[1:], dtype=np.int32)
+        return self.total
 
     def held(self, s: Symbols) -> np.ndarray:
         """Which symbols' contexts some window in question holds."""
-        total = np.concatenate([[0], np.cumsum(self.open)])
+        total = self.so_far()
         out = (s.right - s.left <= self.window) & (s.left >= 0) & (s.right <= self.n)
         some = np.flatnonzero(out)
         low, high = np.maximum(s.right[some] - self.window, 0), s.left[some] + 1
@@ -242,7 +259,7 @@ class Parse:
         left, right = np.where(self.edge[start], start - 1 - self.window, start - 1), np.where(self.edge[end], end + 1 + self.window, end + 1)
         s = Symbols(run[self.run_kind], *(x[long] for x in (start, end, left, right)))
         self.formed(s)
-        total = np.concatenate([[0], np.cumsum(self.open, dtype=np.int32)])
+        total = self.so_far()
         keep = (self.word[start] != 0) & (total[start] > total[np.maximum(end + 1 - self.window, 0)])  # in a window that goes on at both sides
         named = self.word[start]
         named[long] = s.name
