@@ -38,6 +38,8 @@ from .textarrays import U64, between, covered, mix, prefix_sums, runs, span_hash
 ROUNDS = 4
 #: Before this round the symbols and windows that are left are put aside, so that later rounds don't begin with the words.
 CARRY = 2
+#: Text for each owner, in blocks. Each block sends each owner a message in each round, so fewer owners are fewer messages.
+OWNER_BLOCKS = 2
 STATE = "size long, doc_ids binary, n_words binary, vocabulary binary, words binary"
 ASK = "block long, owner int, asked binary"
 ANSWER = "block long, owner int, answer binary"
@@ -537,7 +539,7 @@ def blockwise(state: DataFrame, answered: list[DataFrame], f: Callable[[dict, li
 def removed_words(docs: DataFrame, window: int = 13, block_bytes: int = own.BLOCK_BYTES, many: int = 256) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: documents without the words of windows that start in one with a smaller doc_id."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 64)).first()[0] or 0
-    n_owners = max(1, -(-size // block_bytes))
+    n_owners = max(1, -(-size // (OWNER_BLOCKS * block_bytes)))
     state = packed(docs, block_bytes).repartition("block")  # one exchange, which all rounds share
 
     def parsed(row: dict, answers: list[dict[int, bytes]]) -> Parse:
