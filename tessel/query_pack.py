@@ -546,7 +546,7 @@ def stream_fold(spark, d):
 
 @query()
 def tsne(spark, d):
-    """A map of all vectors; a table of more than projection.MAX_POINTS is refused, as the method looks at all pairs."""
+    """A map of all vectors; beyond projection.EXACT_POINTS from neighbours and a grid instead of all pairs."""
     return projection.project(table(spark, d, "embeddings"), 20.0, 42, "vec_id", "embedding")
 
 
